@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_model import language_model_scores
+from .licenses import RULES, SENTENCES, license_scan
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality, train
 from .token_counts import token_counts
 from .warc import roundtrip
 
@@ -38,16 +41,29 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op8_line_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op6_license_scan, op7_lm_score, op8_line_dedup, op9_exact_dedup, op10_quality_crf)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,5 +90,20 @@ from d left join p using (doc_id) left join t using (doc_id)
 with d as (select doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) text_sha256 from documents)
 select doc_id, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size,
   doc_id = max(doc_id) over (partition by text_sha256) kept, text_sha256 from d
+""",
+    "op6_license_scan": f"""
+with known(sid, s) as (values {", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())}),
+rules(ord, name, ids) as (values {", ".join(f"({i}, '{n}', {list(ids)})" for i, (n, ids) in enumerate(RULES))}),
+d as (
+  select doc_id, list_filter(list_transform(string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '([.!?])[ \\t\\r\\n]+', '\\1\n', 'g'), '\n'),
+    lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') s from documents
+), e as (select doc_id, pos, sid from (select doc_id, unnest(s) s, unnest(range(len(s))) pos from d) join known using (s)),
+m as (
+  select e.doc_id, e.pos st, e.pos + len(ids) en, ord, name from e join rules on ids[1] = sid
+  where (select count(*) from e f where f.doc_id = e.doc_id and f.pos >= e.pos and f.pos < e.pos + len(ids) and f.sid = ids[f.pos - e.pos + 1]) = len(ids)
+), k as (select * from m where not exists (select 1 from m n where n.doc_id = m.doc_id and n.ord < m.ord and n.st < m.en and m.st < n.en)),
+g as (select doc_id, count(*) n, string_agg(distinct name, ',' order by name) names from k group by 1)
+select d.doc_id, len(d.s) n_sentences, (select count(*) from e where e.doc_id = d.doc_id) n_known, coalesce(g.n, 0) n_matches, coalesce(names, '') licenses
+from d left join g using (doc_id)
 """,
 }
