@@ -97,7 +97,8 @@ def ingest_incremental(stream: DataFrame, read: Callable[[], DataFrame], write:
 
 def daily_counts(records: DataFrame, watermark: str = "7 days") -> DataFrame:
     """T4: rows per day of ``ts``; on a stream, days close after the watermark."""
-    r = records.withWatermark("ts", watermark) if records.isStreaming else records
+    r = records.withColumn("ts", F.col("ts").cast("timestamp"))
+    r = r.withWatermark("ts", watermark) if r.isStreaming else r
     return r.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
