@@ -58,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; a hot node costs a join key, which adaptive execution splits,
     and no step has more rows than the edges. Each round is written to the shared folder.
     """
-    now = stored(edges.where("u <> v").mapInArrow(_contract, "u long, v long"), "edges")
+    first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
