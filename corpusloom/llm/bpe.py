@@ -6,15 +6,22 @@ import hashlib
 import json
 import os
 import re
+import sys
+import types
+from array import array
 
-import numpy as np
+import regex
+
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as little-endian unsigned 32-bit numbers")
 
 #: A space before something that isn't white space: nothing that a byte-level pre-tokenizer makes spans it.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 40
-BATCH_CHARS = 1 << 20
+#: A fixed value: the pattern by which byte-level BPE of this kind pre-tokenizes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_digest(path: str) -> str:
@@ -36,11 +43,41 @@ def _cuttable(path: str) -> bool:
     )
 
 
+#: Scripts whose letters, digits and white space every Unicode version of use has the same.
+_SETTLED = re.compile("[\x00-\u024f\u0370-\u0373\u0376-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0481\u048a-\u0523\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff10-\uff19]*")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: itself if printable, else the next from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 0x100
+    for b in range(256):
+        out.append(chr(b if b in printable else spare))
+        spare += b not in printable
+    return out
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens, by the library's model; bounded: what doesn't fit is computed again."""
+
+    def __init__(self, model, limit: int):
+        self.model, self.limit, self.letters = model, limit, dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(self) < self.limit:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """``ids(text)`` gives a text's ids as little-endian unsigned 32-bit bytes, exactly as the library does.
 
-    A byte-level tokenizer's text is cut before each space that a word follows, and ids of short pieces are
-    kept in a bounded cache: the library sees each piece once, not each occurrence.
+    A byte-level tokenizer's text is cut before each space that a word follows. Ids of these stretches, and of
+    the pre-tokens that they consist of, are kept in bounded caches, so that the library's model sees most
+    pre-tokens once. Stretches with added tokens or with letters of scripts on which Unicode versions may
+    differ go through the whole library.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -61,9 +98,13 @@ class Encoder:
             tokenizer.no_padding()
             self._library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             self.cut = _cuttable(path)
+            if self.cut:
+                self.pieces = _Pieces(tokenizer.model, cache_entries * 5 // 3)
+                self.split = regex.compile(PATTERN).findall
+                self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x, dtype="<u4").tobytes() for x in self._library(texts)]
+        return [array("I", x).tobytes() for x in self._library(texts)]
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -75,24 +116,26 @@ class Encoder:
         try:
             tail = b"".join(map(known.__getitem__, rest))
         except KeyError:
-            tail = self._learn(rest)
-        if text[0] == " " and not first:  # the text begins with the space of its first piece
-            return tail
-        return self.library([first])[0] + tail
-
-    def _learn(self, rest: list[str]) -> bytes:
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
-        known = self.spaced
-        new = list({p for p in rest if p not in known})
-        found: dict[str, bytes] = {}
-        batch, chars = [], 0
-        for p in new:
-            batch.append(p)
-            chars += len(p)
-            if chars > BATCH_CHARS:
-                found.update(zip(batch, self.library([" " + x for x in batch])))
-                batch, chars = [], 0
-        found.update(zip(batch, self.library([" " + x for x in batch])))
-        known.update((p, ids) for p, ids in found.items() if len(p) <= CACHE_CHARS)
-        return b"".join([known[p] if p in known else found[p] for p in rest])
+            tail = b"".join([known[p] if p in known else self._learn(p) for p in rest])
+        return (self._stretch(first) if first else b"") + tail
+
+    def _stretch(self, s: str) -> bytes:
+        if not (s.isascii() or _SETTLED.fullmatch(s)) or any(t in s for t in self.added):
+            return self.library([s])[0]
+        return b"".join(map(self.pieces.__getitem__, self.split(s)))
+
+    def _learn(self, word: str) -> bytes:
+        ids = self._stretch(" " + word)
+        if len(self.spaced) < self.limit and len(word) <= CACHE_CHARS:
+            self.spaced[word] = ids
+        return ids
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process: later tasks of the process find its bounded caches filled."""
+    held = sys.modules.setdefault("corpusloom_worker", types.ModuleType("corpusloom_worker"))
+    known = held.__dict__.setdefault("encoders", {})
+    if path not in known:
+        known.clear()
+        known[path] = Encoder(path)
+    return known[path]

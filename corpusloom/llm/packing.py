@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import encoder
 
 CAPACITY = 1024
 GROUP_WINDOWS = 32
@@ -175,12 +175,12 @@ def _pack(path: str, capacity: int, group: int, end_id: int, id_type: pa.DataTyp
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         end = end_id.to_bytes(4, "little")
         packer = _Packer(capacity, group, TaskContext.get().partitionId() << 40)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packer.add(doc_id, encoder.ids(text) + end)
+                packer.add(doc_id, tokens.ids(text) + end)
             if len(packer.out) > 5_000:
                 yield batch(packer.out)
                 packer.out = []

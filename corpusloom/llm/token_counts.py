@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, tokenizer_digest
+from .bpe import encoder, tokenizer_digest
 from .common import fresh_path
 
 CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
@@ -21,10 +21,16 @@ CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
+        last = None
         for b in batches:
-            n = [len(encoder.ids(t)) // 4 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            out = []
+            for digest, text in zip(b.column("digest").to_pylist(), b.column("text").to_pylist()):
+                if digest != last:  # rows that repeat id and content follow each other
+                    out.append((digest, len(tokens.ids(text)) // 4))
+                    last = digest
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["digest", "n_tokens"])
 
     return run
 
@@ -63,7 +69,6 @@ def token_counts(
     first = keyed.groupBy("digest").agg(F.min("id").alias("first")).join(cache(), "digest", "left_anti")
     whole = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), text.alias("text"))
     misses = whole.join(first, (F.col("key") == F.col("digest")) & F.col("id").eqNullSafe(F.col("first"))).select("digest", "text")
-    # Rows that repeat both id and content meet here; all others have met.
     counted = misses.mapInArrow(_counts(tokenizer_path), "digest string, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
 
