@@ -41,8 +41,7 @@ def _sketches(sketch: int):
         shingler = Shingler()
         for b in batches:
             n, digest, low = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingler.text_set(text)
+            for s in shingler.text_sets(b.column(1).to_pylist()):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low.append(s[:sketch].view(np.int64))
@@ -56,7 +55,7 @@ def _sketches(sketch: int):
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for b in batches:
-        sets = [shingler.text_set(t).tobytes() for t in b.column("text").to_pylist()]
+        sets = [s.tobytes() for s in shingler.text_sets(b.column("text").to_pylist())]
         i = b.schema.get_field_index("text")
         yield pa.RecordBatch.from_arrays([*[c for j, c in enumerate(b.columns) if j != i], pa.array(sets, pa.binary())], [*[f.name for f in b.schema if f.name != "text"], "shingles"])
 
