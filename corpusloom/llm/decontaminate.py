@@ -18,6 +18,8 @@ from .common import ascii_lower, small_side, stored
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 4
 WINDOW = 10
+#: Documents with candidates that are broadcast at most: each holds its windows' words.
+BROADCAST_DOCS = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -94,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     if found is None:
         rows = rows.withColumn("found", F.expr("cast(array() as array<struct<start:int,window:array<string>,items:array<string>>>)"))
     else:
-        found = small_side(found).withColumnRenamed("d", "e")
+        found = small_side(found, BROADCAST_DOCS).withColumnRenamed("d", "e")
         rows = rows.join(found, F.col("d").eqNullSafe(F.col("e")), "left")
     exact = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,window:array<string>,items:array<string>>>")), lambda c: F.slice("words", c["start"] + 1, F.size(c["window"])) == c["window"])
     rows = rows.select("d", "kept", F.size("words").cast("long").alias("n_words"), exact.alias("hits"))
