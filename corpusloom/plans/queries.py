@@ -176,6 +176,16 @@ def f22_f23_citations(spark, d):
     return papers_o(spark, d, arrays=False).select("id", citations.bibtex(_record).alias("bibtex"), citations.gbt7714(_record, F.lit("2026-01-02")).alias("gbt"))
 
 
+@query("""
+with t as (select doc_id seq, trim(split_part(text, ' ', 1)) source, case when doc_id % 9 = 0 then '' else lang end target from documents)
+select seq, source, target from t where source <> '' and target <> '' qualify row_number() over (partition by lower(source) order by seq) = 1
+""")
+def f26_clean_glossary(spark, d):
+    x = read(spark, d, "documents")
+    target = F.when(C("doc_id") % 9 == 0, " ").otherwise(C("lang"))
+    return joins.clean_glossary(x.select(C("doc_id").alias("seq"), F.concat(F.lit(" "), F.substring_index("text", " ", 1)).alias("source"), target.alias("target")))
+
+
 @query(f"with {OPS_E} select seq, case when active then 'Alpha,word' || cast(seq % 7 as varchar) else '' end words from ops_e")
 def f24_f33_keywords(spark, d):
     return ops_e(spark, d).select("seq", F.array_join(text.keyword_suggestions(F.lit(None).cast("array<string>"), text.ci_unique(C("keywords")), C("keywords")), ",").alias("words"))
