@@ -52,6 +52,13 @@ def joined(c: str, sep: str = ","):
     return F.array_join(c, sep).alias(c)
 
 
+def _sql_unescape(column: str) -> str:
+    """The entities that occur in the given tables, and the basic ones, as characters; the ampersand's last."""
+    for entity, c in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        column = f"replace({column}, '&{entity};', '{c}')"
+    return column
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 
@@ -692,12 +699,12 @@ def w1_first_per_key(spark, d):
     return ranking.first_per_key(p, ["k"], F.asc("id")).select("k", "id")
 
 
-@query(r"""
-with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]+)</a>', 1)) href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]+)</a>', 1)))) pos from pages where not contains(html, '&'))
-select page_id, href, min(pos) pos from l group by 1, 2
+@query(rf"""
+with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]+)</a>', 1)) href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]+)</a>', 1)))) pos from pages)
+select page_id, {_sql_unescape("href")} href, min(pos) pos from l group by 1, 2
 """)
 def w2_s6_distinct_links(spark, d):
-    links = html_pages.html_links(read(spark, d, "pages").where(~F.contains("html", F.lit("&"))))
+    links = html_pages.html_links(read(spark, d, "pages"))
     return ranking.dedupe_urls(links.withColumns({"source": C("page_id"), "url": C("href")})).select("page_id", "href", C("pos").cast("long").alias("pos"))
 
 
@@ -866,11 +873,11 @@ def t6_latest_source_status(spark, d):
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 
-@query(r"""
-select page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) h1, '' as description from pages where not contains(html, '&')
+@query(rf"""
+select page_id, trim(regexp_replace({_sql_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '[\s\p{{Z}}]+', ' ', 'g')) h1, '' as description from pages
 """)
 def s7_page_metadata(spark, d):
-    m = html_pages.html_page_metadata(read(spark, d, "pages").where(~F.contains("html", F.lit("&"))))
+    m = html_pages.html_page_metadata(read(spark, d, "pages"))
     return m.select("page_id", text.empty_if_null(F.get("headings", F.lit(0))).alias("h1"), "description")
 
 
