@@ -1,7 +1,9 @@
 """Registered queries over small tables that hold the characters and lengths which their rows were once chosen to avoid."""
 
+import datetime
 import html
 import re
+import unicodedata
 
 import pytest
 
@@ -14,6 +16,28 @@ PAGES = [
 ]
 
 
+LONG = "wort " * 90
+DOCS = [
+    (0, "Straße & Haus &amp; Hof. licensed <b>x</b> &lt;y&gt; " + LONG, "src0", "de"),
+    (1, "İstanbul &eacute;t&eacute;. LICENSING " + LONG, "src1", "tr"),
+    (2, "Plain title. No notice here. " + LONG, "src2", "en"),
+    (3, "GROẞE Maße. License &copy; short", "src5", "de"),
+    (4, "&amp;", "src4", "en"),
+]
+
+
+def documents(rows=DOCS):
+    return {"documents": (rows, "doc_id long, text string, source string, lang string"), "labels": ([(r[0], 1) for r in rows], "doc_id long, quality int")}
+
+
+def one_line(text):
+    return " ".join(text.split())
+
+
+def folded(text):
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     def write(**given):
@@ -34,3 +58,36 @@ def test_pages_with_entities_are_read(spark, tables):
     assert sorted(map(tuple, plans.w2_s6_distinct_links(spark, d).collect())) == sorted(want)
     got = {r["page_id"]: (r["h1"], r["description"]) for r in plans.s7_page_metadata(spark, d).collect()}
     assert got == {1: ("Café & bar", "Q&A © x"), 2: ("Plain", ""), 3: ("", "")}
+
+
+def test_texts_with_entities_and_special_letters_have_results(spark, tables):
+    d = tables(**documents())
+    clean = {i: one_line(html.unescape(re.sub("<[^>]+>", " ", t))) for i, t, _, _ in DOCS}
+    title = {i: t.split(".")[0] for i, t, _, _ in DOCS}
+    key = lambda t: "".join(c for c in folded(t) if unicodedata.category(c)[0] in "LN")[:220]
+
+    got = {r["doc_id"]: r for r in plans.f1_f2_f17_f18_clean_text(spark, d).collect()}
+    assert {i: r["cleaned"] for i, r in got.items()} == clean
+    assert {i: r["title_key"] for i, r in got.items()} == {i: key(t) for i, t in title.items()}
+
+    got = {r["doc_id"]: (r["search_text"], r["glossed"]) for r in plans.f16_f25_search_text_and_glossary(spark, d).collect()}
+    gloss = lambda t: re.sub("licens", "LICENC", re.sub("license", "LICENCE", t, flags=re.I | re.A), flags=re.I | re.A)
+    assert got == {i: (one_line(folded(f"{title[i]} {s} {lang}")), gloss(t)) for i, t, s, lang in DOCS}
+
+    got = {r["id"]: (r["valid"], r["low"]) for r in plans.c9_c10_abstracts(spark, d).collect()}
+    copy = lambda i: key(title[i]) != "" and (key(clean[i]) == key(title[i]) or (key(clean[i]).startswith(key(title[i])) and len(clean[i]) < len(title[i]) + 35))
+    assert got == {i: (50 <= len(t) <= 20_000 and not copy(i), len(t) < 45) for i, t in clean.items()}
+
+    assert {r["id"]: r["title"] for r in plans.j6_localize(spark, d).collect()} == {i: one_line(t.upper()) for i, t in title.items()}
+    got = {r["id"]: r["search_text"] for r in plans.s18_search_index(spark, d).collect()}
+    doi = lambda i: "" if i % 6 == 0 else f"10.2/{i % 700}"
+    assert got == {i: one_line(folded(f"{title[i]} {t} {s} {doi(i)}")) for i, t, s, _ in DOCS}
+    assert {r["id"] for r in plans.c3_notice_relevant(spark, d).collect()} == set(title)
+
+
+def test_orders_of_all_years_have_dates(spark, tables):
+    days = [datetime.date(1992, 3, 9), datetime.date(1999, 12, 31), datetime.date(2000, 1, 1), datetime.date(2024, 2, 29)]
+    d = tables(orders=(list(enumerate(days)), "o_orderkey long, o_orderdate date"))
+    got = {r["id"]: (r["mail"], r["number"], r["parts"], r["zh"]) for r in plans.f4_iso_dates(spark, d).collect()}
+    # Notices only know years from 2000 on; the earlier day in front is then the last one that they know.
+    assert got == {i: (str(x), str(x), f"{x:%Y-%m}-01", str(x) if x.year >= 2000 else "2001-01-01") for i, x in enumerate(days)}
