@@ -108,13 +108,13 @@ with p as (select doc_id, cast(date '2001-01-01' + cast((doc_id * 13) % 9000 as
 select doc_id, day_ as published, day_ as deadline_zh, day_ as deadline_en, day_ as english from p
 """)
 def f5_f6_f7_notice_dates(spark, d):
-    x = papers_d(spark, d).select("id", C("published").cast("date").alias("day"), F.regexp_replace("abstract", r"\d", "").alias("t"))
+    x = papers_d(spark, d).select("id", C("published").cast("date").alias("day"), C("abstract").alias("t"))
     en, zh = F.date_format("day", "MMMM d, yyyy"), F.date_format("day", "yyyy年M月d日")
     return x.select(
         C("id").alias("doc_id"),
         dates.notice_date(F.concat(F.lit("2001-02-03 "), C("t"), F.lit(" 发布日期："), zh)).alias("published"),
-        dates.deadline(F.concat(F.lit("截止日期："), zh, F.lit("。"), F.substring("t", 1, 200))).alias("deadline_zh"),
-        dates.deadline(F.concat(F.lit("The deadline is "), en, F.lit(". "), F.substring("t", 1, 200))).alias("deadline_en"),
+        dates.deadline(F.concat(F.lit("截止日期："), zh, F.lit("。"), C("t"))).alias("deadline_zh"),
+        dates.deadline(F.concat(F.lit("The deadline is "), en, F.lit(". "), C("t"))).alias("deadline_en"),
         dates.english_date(F.concat(F.lit("Issued "), F.date_format("day", "d MMMM yyyy"), F.lit("."))).alias("english"),
     )
 
@@ -285,12 +285,12 @@ def c2_relevant(spark, d):
 
 
 @query(f"""
-with {PAPERS_D}, x as (select id, lower(replace(title, 'İ', 'i̇')) t, lower(replace(title || ' ' || substr(abstract, 1, 300) || ' ' || lang, 'İ', 'i̇')) a, source in ('src0', 'src4') trusted from papers_d)
+with {PAPERS_D}, x as (select id, lower(replace(title, 'İ', 'i̇')) t, lower(replace(title || ' ' || abstract || ' ' || lang, 'İ', 'i̇')) a, source in ('src0', 'src4') trusted from papers_d)
 select id, case when contains(t, 'shth') then false when trusted and (contains(t, 'the') or contains(t, 'que') or contains(t, 'und')) then true when contains(a, 'shth') then false else trusted or contains(t, 'the') or contains(t, 'que') end relevant from x
 """)
 def c3_notice_relevant(spark, d):
     p = papers_d(spark, d)
-    return p.select("id", classify.notice_relevant(C("title"), F.substring("abstract", 1, 300), C("lang"), C("source"), ("shth",), ("the", "que"), ("src0", "src4"), ("und",)).alias("relevant"))
+    return p.select("id", classify.notice_relevant(C("title"), C("abstract"), C("lang"), C("source"), ("shth",), ("the", "que"), ("src0", "src4"), ("und",)).alias("relevant"))
 
 
 @query(f"""
@@ -365,9 +365,9 @@ def c12_notice_filter(spark, d):
     return out.unionByName(filters.notice_filter(n, "week", day, query="12").select(F.lit("week").alias("timing"), "id"))
 
 
-@query("select doc_id from documents where source = 'src5' and contains(lower(split_part(text, '.', 1) || ' ' || lang || ' ' || substr(text, 1, 100) || ' ' || source), 'the')")
+@query("select doc_id from documents where source = 'src5' and contains(lower(split_part(text, '.', 1) || ' ' || lang || ' ' || text || ' ' || source), 'the')")
 def c13_directory(spark, d):
-    x = read(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("name"), C("lang").alias("scope"), F.substring("text", 1, 100).alias("description"), F.array("source").alias("tags"), C("source").alias("category"))
+    x = read(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("name"), C("lang").alias("scope"), C("text").alias("description"), F.array("source").alias("tags"), C("source").alias("category"))
     return filters.directory_search(x, " THE ", "src5").select("doc_id")
 
 

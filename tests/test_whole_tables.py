@@ -91,3 +91,22 @@ def test_orders_of_all_years_have_dates(spark, tables):
     got = {r["id"]: (r["mail"], r["number"], r["parts"], r["zh"]) for r in plans.f4_iso_dates(spark, d).collect()}
     # Notices only know years from 2000 on; the earlier day in front is then the last one that they know.
     assert got == {i: (str(x), str(x), f"{x:%Y-%m}-01", str(x) if x.year >= 2000 else "2001-01-01") for i, x in enumerate(days)}
+
+
+def test_terms_and_dates_far_into_a_text_count(spark, tables):
+    far = "Dies. " + "wort " * 400
+    rows = [
+        (0, far + "shth", "src0", "de"),
+        (1, far, "src0", "de"),
+        (3, far + "The end", "src5", "de"),
+        (4, far, "src5", "de"),
+        (5, far + "截止日期：2031年5月6日。", "src5", "de"),
+        (6, far + "受理时间至2031年5月6日", "src5", "de"),
+    ]
+    d = tables(**documents(rows))
+    assert {r["id"]: r["relevant"] for r in plans.c3_notice_relevant(spark, d).collect()} == {0: False, 1: True, 3: False, 4: False, 5: False, 6: False}
+    assert [r["doc_id"] for r in plans.c13_directory(spark, d).collect()] == [3]
+    days = {i: str(datetime.date(2001, 1, 1) + datetime.timedelta(i * 13 % 9000)) for i, *_ in rows}
+    got = {r["doc_id"]: (r["published"], r["deadline_zh"], r["deadline_en"], r["english"]) for r in plans.f5_f6_f7_notice_dates(spark, d).collect()}
+    # A Chinese deadline anywhere in the text goes before an English one.
+    assert got == {i: (x, x, "2031-05-06" if i > 4 else x, x) for i, x in days.items()}
