@@ -125,14 +125,16 @@ def translation_coverage(records: DataFrame, translations: DataFrame) -> DataFra
 
 
 def source_health(runs: DataFrame) -> DataFrame:
-    """Per kind, of the latest run of each source: sources, healthy ones, records, duration, and whether all of them failed."""
-    last = runs.groupBy("kind", "name").agg(F.max_by(F.struct("ok", "count", "duration_ms"), F.struct("run_at", "seq")).alias("r"))
+    """Per kind, of the latest run of each source: sources, healthy ones, records, duration, and whether all of them failed;
+    and of all runs the last success, null if there is none."""
+    last = runs.groupBy("kind", "name").agg(F.max_by(F.struct("ok", "count", "duration_ms"), F.struct("run_at", "seq")).alias("r"), F.max(F.when(F.col("ok"), F.col("run_at"))).alias("success"))
     return last.groupBy("kind").agg(
         F.count(F.lit(1)).alias("sources"),
         F.sum(F.col("r.ok").cast("long")).alias("healthy"),
         F.sum("r.count").alias("records"),
         F.sum("r.duration_ms").alias("duration_ms"),
         (~F.bool_or("r.ok")).alias("all_failed"),
+        F.max("success").alias("last_success"),
     )
 
 
@@ -154,12 +156,17 @@ def briefing(papers: DataFrame, priorities: DataFrame, unfocused=UNFOCUSED) -> D
     return kinds.unionByName(topics).unionByName(sources).unionByName(items)
 
 
-def selection_metrics(papers: DataFrame, favorites: DataFrame, keyword_hits: DataFrame, notes: DataFrame) -> DataFrame:
-    """Results, and how many of them are favourites, keyword hits or noted."""
+def selection_metrics(papers: DataFrame, favorites: DataFrame, keyword_hits: DataFrame, notes: DataFrame, priorities: DataFrame) -> DataFrame:
+    """Results, how many of them are favourites, keyword hits or noted, and five topics by count, then priority, as
+    ``name:count``. ``priorities(name, priority)``."""
     out = papers.select("id")
     for name, ids in (("favorites", favorites), ("keyword_hits", keyword_hits), ("noted", notes)):
         out = out.join(ids.select("id").distinct().withColumn(name, F.lit(1)), "id", "left")
-    return out.agg(F.count(F.lit(1)).alias("results"), *[F.count(c).alias(c) for c in ("favorites", "keyword_hits", "noted")])
+    out = out.agg(F.count(F.lit(1)).alias("results"), *[F.count(c).alias(c) for c in ("favorites", "keyword_hits", "noted")])
+    topics = papers.select(F.explode("categories").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(priorities), "name", "left")
+    topics = ranked(topics, "topic", 5, F.desc("n"), F.desc(F.coalesce("priority", F.lit(0))), F.asc("name"))
+    top = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "name", F.col("n").cast("string")).alias("t"))))
+    return out.crossJoin(topics.agg(F.array_join(F.transform(top, lambda x: x["t"]), ",").alias("topics")))  # two one-row tables
 
 
 def match_histogram(matches: DataFrame) -> DataFrame:
@@ -177,11 +184,15 @@ def enrichment_stats(attempts: DataFrame) -> DataFrame:
     )
 
 
-def notice_board(notices: DataFrame, as_of: Column) -> DataFrame:
-    """Notices first seen on the day, open or soon, and published within a week."""
+def notice_board(notices: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Notices first seen on the day, open or soon, and published within a week; and of the sources whose ``runs`` are of
+    the kind ``notice``, the healthy ones and all, by the latest run of each."""
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return notices.agg(
+    health = source_health(runs.where(F.col("kind") == "notice"))
+    health = health.agg(*[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("healthy", "healthy_sources"), ("sources", "total_sources"))])
+    board = notices.agg(
         n(F.substring("first_seen", 1, 10) == as_of).alias("new_today"),
         n(deadline_state(F.col("deadline"), as_of).isin("open", "soon")).alias("open"),
         n(days_left(F.col("published"), as_of) >= -6).alias("this_week"),
     )
+    return board.crossJoin(health)  # two one-row tables

@@ -641,7 +641,8 @@ def a8_translation_coverage(spark, d):
 
 @query(f"""
 with {RUNS_E}, l as (select * from runs_e qualify row_number() over (partition by kind, name order by run_at desc, seq desc) = 1)
-select kind, count(*) sources, count(*) filter (ok) healthy, cast(sum(count_) as bigint) records, cast(sum(duration_ms) as bigint) duration_ms, not bool_or(ok) all_failed from l group by 1
+select kind, count(*) sources, count(*) filter (ok) healthy, cast(sum(count_) as bigint) records, cast(sum(duration_ms) as bigint) duration_ms, not bool_or(ok) all_failed,
+  (select max(run_at) from runs_e where ok and runs_e.kind = l.kind) last_success from l group by 1
 """)
 def a9_source_health(spark, d):
     return stats.source_health(runs_e(spark, d))
@@ -658,13 +659,17 @@ def a10_briefing(spark, d):
 
 
 @query(f"""
-with {PAPERS_O}, {OPS_E}, s as (select distinct type_, cast(substr(item_id, 5) as bigint) id from state) select count(*) results, count(*) filter (id in (select id from s where type_ = 'favorite')) favorites,
-  count(*) filter (contains(title, '99')) keyword_hits, count(*) filter (id in (select id from s where type_ = 'note')) noted from papers_o
+with {PAPERS_O}, {OPS_E}, s as (select distinct type_, cast(substr(item_id, 5) as bigint) id from state),
+t as (select category, count(*) n, any_value(priority) pr from papers_o join cats using (id) left join prios using (category) group by 1 order by n desc, coalesce(any_value(priority), 0) desc, category limit 5)
+select count(*) results, count(*) filter (id in (select id from s where type_ = 'favorite')) favorites,
+  count(*) filter (contains(title, '99')) keyword_hits, count(*) filter (id in (select id from s where type_ = 'note')) noted,
+  (select coalesce(string_agg(category || ':' || cast(n as varchar), ',' order by n desc, coalesce(pr, 0) desc, category), '') from t) topics from papers_o
 """)
 def a11_selection_metrics(spark, d):
-    p = papers_o(spark, d, arrays=False)
+    p = papers_o(spark, d)
     s = user_state.fold_user_ops(ops_e(spark, d)).withColumn("id", F.expr("cast(substr(item_id, 5) as bigint)"))
-    return stats.selection_metrics(p, s.where("type = 'favorite'"), p.where(F.contains("title", F.lit("99"))), s.where("type = 'note'"))
+    priorities = spark.createDataFrame(list(PRIORITIES.items()), "name string, priority int")
+    return stats.selection_metrics(p, s.where("type = 'favorite'"), p.where(F.contains("title", F.lit("99"))), s.where("type = 'note'"), priorities)
 
 
 @query(f"with {PAPERS_D} select substr(published, 1, 7) as month, count(*) n from papers_d where contains(lower(abstract), 'license') group by 1")
@@ -688,10 +693,13 @@ def a14_date_bounds(spark, d):
 
 
 @query(f"""
-with {NOTICES_O} select count(*) filter (first_seen = '{AS_OF}') new_today, count(*) filter (deadline >= '{AS_OF}') as open, count(*) filter (published >= cast(date '{AS_OF}' - 6 as varchar)) this_week from notices_o
+with {NOTICES_O}, {RUNS_E}, l as (select * from runs_e where kind = 'view' qualify row_number() over (partition by name order by run_at desc, seq desc) = 1)
+select count(*) filter (first_seen = '{AS_OF}') new_today, count(*) filter (deadline >= '{AS_OF}') as open, count(*) filter (published >= cast(date '{AS_OF}' - 6 as varchar)) this_week,
+  (select count(*) filter (ok) from l) healthy_sources, (select count(*) from l) total_sources from notices_o
 """)
 def a15_notice_board(spark, d):
-    return stats.notice_board(notices_o(spark, d), F.lit(AS_OF))
+    runs = runs_e(spark, d).withColumn("kind", F.when(C("kind") == "view", "notice").otherwise(C("kind")))
+    return stats.notice_board(notices_o(spark, d), runs, F.lit(AS_OF))
 
 
 # --- ranking ------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.operators import stats
 from corpusloom.plans import queries as plans
 
 PAGES = [
@@ -110,3 +112,24 @@ def test_terms_and_dates_far_into_a_text_count(spark, tables):
     got = {r["doc_id"]: (r["published"], r["deadline_zh"], r["deadline_en"], r["english"]) for r in plans.f5_f6_f7_notice_dates(spark, d).collect()}
     # A Chinese deadline anywhere in the text goes before an English one.
     assert got == {i: (x, x, "2031-05-06" if i > 4 else x, x) for i, x in days.items()}
+
+
+def test_selection_has_its_top_topics(spark):
+    tags = {1: "ab", 2: "abc", 3: "cd", 4: "e", 5: "fg", 6: ""}
+    papers = spark.createDataFrame([(i, list(t)) for i, t in tags.items()], "id long, categories array<string>")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    priorities = spark.createDataFrame([("c", 9), ("b", 3), ("g", 5), ("f", 1)], "name string, priority int")
+    got = stats.selection_metrics(papers, ids(1, 1, 9), ids(2, 3), ids(), priorities).collect()
+    assert [r.asDict() for r in got] == [{"results": 6, "favorites": 1, "keyword_hits": 2, "noted": 0, "topics": "c:2,b:2,a:2,g:1,f:1"}]
+    assert stats.selection_metrics(papers.where("id = 6"), ids(), ids(), ids(), priorities).first()["topics"] == ""
+
+
+def test_health_has_the_last_success_and_the_board_its_sources(spark):
+    rows = [("notice", "a", True, 1), ("notice", "a", False, 5), ("notice", "b", False, 2), ("notice", "b", True, 3), ("news", "a", False, 9)]
+    runs = spark.createDataFrame([(k, n, ok, t, 1, 1, t) for k, n, ok, t in rows], "kind string, name string, ok boolean, run_at long, count int, duration_ms int, seq long")
+    got = {r["kind"]: (r["sources"], r["healthy"], r["last_success"]) for r in stats.source_health(runs).collect()}
+    assert got == {"notice": (2, 1, 3), "news": (1, 0, None)}
+    notices = spark.createDataFrame([("2024-01-05", "", "2024-01-01")], "first_seen string, deadline string, published string")
+    for r, want in ((runs, (1, 2)), (runs.where("kind = 'news'"), (0, 0))):
+        board = stats.notice_board(notices, r, F.lit("2024-01-05")).collect()
+        assert [tuple(x) for x in board] == [(1, 0, 1, *want)]
