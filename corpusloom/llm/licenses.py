@@ -1,7 +1,7 @@
 """Licence recognition by sentences.
 
-A text is cut into sentences, each normalised to lower-case letters and digits; known licence sentences have
-identifiers, and ordered rules name the identifier sequences that make a licence. All of it is one projection:
+A text is cut into sentences, however its lines are wrapped, each normalised to lower-case letters and digits; known
+licence sentences have identifiers, and ordered rules name the identifier sequences that make a licence. All of it is one projection:
 the sentence table and the rules are short fixed lists, so nothing is joined or shuffled.
 """
 
@@ -33,36 +33,83 @@ SENTENCES = {
     17: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     18: "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     19: "this work is dedicated to the public domain under cc0 1 0",
+    20: "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    21: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    22: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    23: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    24: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    25: "see the gnu general public license for more details",
+    26: "you should have received a copy of the gnu general public license along with this program",
+    27: "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    28: "you may obtain a copy of the license at",
+    29: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    30: "see the license for the specific language governing permissions and limitations under the license",
+    31: "this project is licensed under the mit license",
+    32: "this software is licensed under the mit license",
+    33: "this project is licensed under the apache license version 2 0",
+    34: "this project is licensed under the gnu general public license version 3",
 }
 
 #: Rules in order of precedence, a licence and the identifiers that follow each other.
 RULES = (
+    ("MIT", (1, 2, 3, 20)),
     ("MIT", (1, 2, 3)),
     ("Apache-2.0", (5, 6, 7)),
+    ("Apache-2.0", (27,)),
     ("GPL-3.0-or-later", (11, 18)),
     ("Apache-2.0", (5, 6)),
     ("MIT", (1, 2)),
+    ("MIT", (1,)),
     ("GPL-3.0-or-later", (11,)),
     ("GPL-3.0-only", (10,)),
     ("Apache-2.0", (4,)),
     ("Apache-2.0", (5,)),
     ("MIT", (8,)),
     ("MIT", (9,)),
+    ("MIT", (31,)),
+    ("MIT", (32,)),
+    ("Apache-2.0", (33,)),
+    ("GPL-3.0-only", (34,)),
     ("CC-BY-NC-4.0", (12,)),
     ("CC-BY-SA-4.0", (14,)),
     ("CC-BY-4.0", (13,)),
     ("CC-BY-4.0", (15,)),
     ("CC0-1.0", (19,)),
+    ("BSD", (16, 17)),
     ("BSD", (17,)),
     ("proprietary", (16,)),
 )
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and at white space after a full stop, exclamation or question mark."""
-    cut = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"([.!?])[ \t\r\n]+", "$1\n")
-    plain = F.transform(F.split(cut, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+#: Between sentences, in place of white space after a full stop, exclamation or question mark, or the colon before conditions, and of lines without letters and digits.
+CUT = "\x01"
+BLANK, STOP = r"\n[^a-z0-9]*\n", r"([.!?]|conditions:|met:)[ \t\r\n]+"
+
+
+def most_words(known) -> int:
+    """A known sentence has at most so many words, and so many lines."""
+    return max((len(s.split()) for s in known), default=1)
+
+
+def sentences(text: Column, known=tuple(SENTENCES.values())) -> Column:
+    """Normalised sentences: cut at blank lines and at white space after a full stop, exclamation or question mark, or
+    the colon that conditions follow.
+
+    Lines of a sentence are joined where they make a known one, with or without the lines before it, such as a
+    title; other lines stay apart, so that a notice on a line of its own is found as well.
+    """
+    cut = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BLANK, CUT), STOP, f"$1{CUT}")
+    plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    lines = F.transform(F.split(cut, CUT), lambda s: F.filter(F.transform(F.split(s, "\n"), plain), lambda x: x != ""))
+    book = F.array(*map(F.lit, known)).cast("array<string>")
+
+    def units(a: Column) -> Column:
+        from_ = lambda i: F.array_join(F.slice(a, i, F.size(a)), " ")
+        starts = F.filter(F.sequence(F.greatest(F.size(a) - most_words(known) + 1, F.lit(1)), F.size(a) - 1), lambda i: F.array_contains(book, from_(i)))
+        whole = F.transform(F.array(F.get(starts, F.lit(0))), lambda i: F.when(i.isNull(), a).otherwise(F.concat(F.slice(a, 1, i - 1), F.array(from_(i)))))
+        return F.when(F.size(a) < 2, a).otherwise(F.flatten(whole))
+
+    return F.flatten(F.transform(lines, units))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -76,7 +123,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     book = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids")) for i, (name, ids) in enumerate(rules)])
-    rows = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("s"))
+    rows = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col), tuple(known.values())).alias("s"))
     coded = F.transform("s", lambda s, i: F.struct(i.alias("pos"), F.try_element_at(table, s).alias("sid")))
     rows = rows.select("id", F.size("s").cast("long").alias("n_sentences"), F.filter(coded, lambda e: e["sid"].isNotNull()).alias("e"))
     rows = rows.withColumn("at", F.map_from_entries("e")).withColumn("book", F.when(F.size("e") > 0, book))

@@ -238,6 +238,41 @@ def test_licenses(spark):
     assert got == {1: (2, "Apache-2.0,proprietary"), 2: (1, "Apache-2.0"), 3: (1, "MIT"), 4: (0, ""), 5: (0, ""), 6: (3, "CC-BY-NC-4.0,MIT")}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+@pytest.mark.parametrize("width", [40, 78, 10_000])
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_licenses(spark, width, mark):
+    import textwrap
+
+    wrap = lambda t: "\n".join(mark + x for p in t.split("\n\n") for x in [*textwrap.wrap(p, width), ""])
+    rows = [
+        (1, wrap(MIT)),
+        (2, "MIT License\nCopyright (c) 2020 A\n" + wrap(MIT).replace("\n", "\r\n")),
+        (3, "Copyright (c) 2020, A\nAll rights reserved.\n\n" + wrap(BSD)),
+        (4, wrap(GPL)),
+        (5, wrap(APACHE)),
+        (6, "Read me\nThis project is licensed under the MIT License."),
+        (7, "Copyright A.\nAll rights reserved.\n" + "\n".join("word" for _ in range(500))),
+    ]
+    got = {r["doc_id"]: (r["n_matches"], r["licenses"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, "MIT"), 2: (1, "MIT"), 3: (1, "BSD"), 4: (1, "GPL-3.0-or-later"), 5: (1, "Apache-2.0"), 6: (1, "MIT"), 7: (1, "proprietary")}
+
+
 def test_language_model(spark, docs, empty):
     rows = awkward()
     tokens = [(r[0], [x for x in re.split("[\x20\x09-\x0d]+", (r[1] or "").translate(LOW)) if x] + [None]) for r in rows]
