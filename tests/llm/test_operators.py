@@ -296,6 +296,29 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(p.sum(1), 1, atol=1e-5)
 
 
+def test_training_step_equals_a_plain_one():
+    from corpusloom.llm import language_model as lm
+
+    assert lm.CLASSES == 64
+    rng = np.random.default_rng(3)
+    rows = lm.feature_rows(rng.integers(0, 30, 500), np.array([200, 300]))
+    label = rng.integers(0, lm.CLASSES, 500)
+    weights = rng.normal(size=(1 << lm.TABLE_BITS, lm.CLASSES)).astype(np.float32)
+    squares = rng.random(len(weights)).astype(np.float32)
+    bias = rng.normal(size=lm.CLASSES).astype(np.float32)
+    want, sums = weights.astype(np.float64), squares.astype(np.float64)
+    z = np.exp(sum(want[rows[f]] for f in range(lm.FEATURES)) + bias)
+    error = z / z.sum(1, keepdims=True) - np.eye(lm.CLASSES)[label]
+    for f in range(lm.FEATURES):
+        for row in np.unique(rows[f]):
+            own = error[rows[f] == row]
+            g = own.sum(0) / len(own) ** 0.5
+            sums[row] += (g * g).mean()
+            want[row] -= lm.STEP / lm.FEATURES / sums[row] ** 0.5 * g
+    lm.take_step(rows, label, weights, squares, bias)
+    assert np.allclose(weights, want, atol=1e-4) and np.allclose(squares, sums, atol=1e-4)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     counts = np.array([3, 0, 1, 4])
