@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the public tokenizer libraries, with a cache of what lies between spaces."""
+"""Token ids of whole texts, as the public tokenizer library of a vocabulary file gives them."""
 
 from __future__ import annotations
 
@@ -10,18 +10,15 @@ import sys
 import types
 from array import array
 
-import regex
-
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian unsigned 32-bit numbers")
 
-#: A space before something that isn't white space: nothing that a byte-level pre-tokenizer makes spans it.
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|\Z)")
-CACHE_ENTRIES = 150_000
-CACHE_CHARS = 40
-#: A fixed value: the pattern by which byte-level BPE of this kind pre-tokenizes.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A fixed value: the pattern by which byte-level BPE of this kind pre-tokenizes, with possessive repeats.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Scripts whose letters, digits and white space every Unicode version of use has the same.
+_SETTLED = re.compile("[\x00-\u024f\u0370-\u0373\u0376-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0481\u048a-\u0523\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff10-\uff19]*")
+#: A run without white space so long that pairwise merging would be slow.
+_LONG_RUN = re.compile(r"\S{1500}")
 
 
 def tokenizer_digest(path: str) -> str:
@@ -29,24 +26,6 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _cuttable(path: str) -> bool:
-    """Whether the vocabulary file asks for byte-level BPE whose pieces never span a space before a word."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    return (
-        pre.get("type") == "ByteLevel"
-        and not pre.get("add_prefix_space")
-        and pre.get("use_regex", True)
-        and not spec.get("normalizer")
-        and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
-    )
-
-
-#: Scripts whose letters, digits and white space every Unicode version of use has the same.
-_SETTLED = re.compile("[\x00-\u024f\u0370-\u0373\u0376-\u0377\u0391-\u03a1\u03a3-\u03ff\u0400-\u0481\u048a-\u0523\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff10-\uff19]*")
-
-
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: itself if printable, else the next from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -57,82 +36,66 @@ def _byte_letters() -> list[str]:
     return out
 
 
-class _Pieces(dict):
-    """Ids of pre-tokens, by the library's model; bounded: what doesn't fit is computed again."""
-
-    def __init__(self, model, limit: int):
-        self.model, self.limit, self.letters = model, limit, dict(enumerate(_byte_letters()))
-
-    def __missing__(self, piece: str) -> bytes:
-        spelt = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        if len(self) < self.limit:
-            self[piece] = ids
-        return ids
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids by bytes, if the file asks for plain byte-level BPE whose merges are in the order of their ids, else nothing."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or (spec.get("post_processor") or pre).get("type") != "ByteLevel":
+        return None
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    byte = {c: b for b, c in enumerate(_byte_letters())}
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    own = {k: i for k, i in model["vocab"].items() if k not in added}
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = [own.get(m, -1) for m in made]
+    if order != sorted(set(order)) or len(made) + 256 != len(own) or not all(c in byte for k in own for c in k):
+        return None
+    return {bytes(byte[c] for c in k): i for k, i in own.items()}
 
 
 class Encoder:
     """``ids(text)`` gives a text's ids as little-endian unsigned 32-bit bytes, exactly as the library does.
 
-    A byte-level tokenizer's text is cut before each space that a word follows. Ids of these stretches, and of
-    the pre-tokens that they consist of, are kept in bounded caches, so that the library's model sees most
-    pre-tokens once. Stretches with added tokens or with letters of scripts on which Unicode versions may
-    differ go through the whole library.
+    For a plain byte-level vocabulary the ids come from a faster implementation of the same merges. Texts with
+    added tokens, with letters of scripts on which Unicode versions may differ, or with very long runs without
+    white space go through the library itself, as do all texts of other vocabularies.
     """
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.limit = cache_entries
-        self.spaced: dict[str, bytes] = {}
+        self._fast, self.added = None, []
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._library = lambda texts: model.encode(texts, num_threads=1)
-            self.cut = False
+            self._library = lambda text: model.encode(text, num_threads=1)
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self._library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.cut = _cuttable(path)
-            if self.cut:
-                self.pieces = _Pieces(tokenizer.model, cache_entries * 5 // 3)
-                self.split = regex.compile(PATTERN).findall
-                self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            self._library = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            ranks = merge_ranks(path)
+            if ranks is not None:
+                import tiktoken
+
+                self._fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x).tobytes() for x in self._library(texts)]
+    def library(self, text: str) -> bytes:
+        return array("I", self._library(text)).tobytes() if text else b""
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cut:
-            return self.library([text])[0]
-        first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        known = self.spaced
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            tail = b"".join([known[p] if p in known else self._learn(p) for p in rest])
-        return (self._stretch(first) if first else b"") + tail
-
-    def _stretch(self, s: str) -> bytes:
-        if not (s.isascii() or _SETTLED.fullmatch(s)) or any(t in s for t in self.added):
-            return self.library([s])[0]
-        return b"".join(map(self.pieces.__getitem__, self.split(s)))
-
-    def _learn(self, word: str) -> bytes:
-        ids = self._stretch(" " + word)
-        if len(self.spaced) < self.limit and len(word) <= CACHE_CHARS:
-            self.spaced[word] = ids
-        return ids
+        if self._fast is None or any(t in text for t in self.added) or not (text.isascii() or _SETTLED.fullmatch(text)) or _LONG_RUN.search(text):
+            return self.library(text)
+        return array("I", self._fast(text)).tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process: later tasks of the process find its bounded caches filled."""
+    """The encoder of this worker process: later tasks of the process find it loaded."""
     held = sys.modules.setdefault("corpusloom_worker", types.ModuleType("corpusloom_worker"))
     known = held.__dict__.setdefault("encoders", {})
     if path not in known:
