@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: the shared folder, written tables, ASCII lower-casing."""
+"""Helpers that the corpus operators share: the shared folder, written tables, checked broadcasts, ASCII lower-casing."""
 
 from __future__ import annotations
 
@@ -8,17 +8,23 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows a side may have to be broadcast; larger sides go through a shuffled join.
-BROADCAST_ROWS = 200_000
+#: Bytes a side may have to be broadcast; larger sides go through a shuffled join.
+BROADCAST_BYTES = 64 << 20
+#: At most so many groups count as hot and are broadcast by ``join_groups``.
+HOT_GROUPS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a
+    temporary one; a cluster is refused, since its executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpusloom-')}")
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -35,12 +41,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it has at most ``limit`` rows, else as it is.
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(F.array_join(c.cast("array<string>"), "")) + 16 * F.size(c), F.lit(0)) + 16
+        return F.coalesce(8 * F.size(c), F.lit(0)) + 16
+    return F.lit(8)
 
-    ``df`` should be a stored table, so that the count is cheap.
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows in memory, as far as their values tell; one cheap job on a stored table."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        size = size + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if its rows take at most ``limit`` bytes, else as it is."""
+    return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the row of ``groups`` that has their ``key``; both are stored tables, ``size`` counts a group's rows.
+
+    A group that holds more than one in ``HOT_GROUPS`` of all rows is hot. There are at most ``HOT_GROUPS`` of these, and
+    they are broadcast, so that a group's rows never meet in one task; the rest is joined by key.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    total = rows.count()
+    hot = F.col(size) > max(1, total // HOT_GROUPS) if total > 1000 else F.lit(False)
+    met = rows.join(F.broadcast(groups.where(hot).withColumn("_hot", F.lit(True))), key, "left")
+    done = met.where("_hot").drop("_hot")
+    return done.unionByName(met.where("_hot is null").select(rows.columns).join(groups.where(~hot), key).select(done.columns))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,40 +1,41 @@
 """Exact deduplication by two passes over a Bloom filter, with DataFrame functions only.
 
-Pass 1 hashes every text to a few positions of a bit filter whose size follows the row count, and keeps
-the positions that were set at least twice. Only these narrow positions shuffle. Pass 2 tests each row:
-a row with a position that was set once is certainly unique and passes straight through; the rest,
-true repeats and the few false positives, meet by their SHA-256.
+Every text is hashed once into a narrow table. A hash chooses a bucket of the filter, a bitmap of 32,768 bits
+whose number follows the row count, and two bits in it. Pass 1 counts these choices as single numbers, with
+partial sums in each task, and sets the bits of those made more than once. Pass 2 tests each row: one of whose
+two bits is missing is certainly unique and passes straight through. Only the rest, true repeats and the few
+false positives, meet by their SHA-256. A filter larger than what may be broadcast is probed in turns, each
+with a part of the buckets and the rows that belong to them, so no row shuffles to meet it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side, stored
+from .common import ascii_lower, join_groups, stored
 
-HASHES = 2
-BITS_PER_ROW = 16
+BITS_PER_ROW = 8
+BUCKET_BITS = 32_768
+#: Bytes of the filter that a turn broadcasts.
+FILTER_BYTES = 64 << 20
 
 
-def _positions(key: F.Column, bits: int) -> list[F.Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def repeated_bits(choices: DataFrame) -> DataFrame:
+    """``(bucket, bits)``: the bitmaps of the buckets in which ``choices.choice`` occurs more than once."""
+    twice = choices.groupBy("choice").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = F.array(F.expr("shiftright(choice, 15) & 32767"), F.expr("choice & 32767"))
+    return twice.select(F.shiftright("choice", 30).alias("bucket"), F.explode(both).alias("bit")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
 
 
-def repeated_bits(keys: DataFrame, bits: int) -> DataFrame:
-    """``(word, mask)``: the filter's 64-bit words, with the bits that ``keys.h`` set twice or more."""
-    twice = (
-        keys.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("pos"))
-        .groupBy("pos")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    return twice.groupBy(F.expr("pos div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("mask")
-    )
+def _is_set(bits: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest id is kept.
@@ -43,32 +44,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     over another id. An empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    # lower() of the whole alphabet is coarser than A-Z: it can only add false positives to the filter.
-    coarse = docs.select(F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
-    bits = 64 * max(1, docs.count() * BITS_PER_ROW // 64)
-    words = small_side(stored(repeated_bits(coarse, bits), "repeated-bits"))
+    hashed = stored(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("sha")), "text-hashes")
+    buckets = max(1, -(-hashed.count() * BITS_PER_ROW // BUCKET_BITS))
+    choice = F.shiftleft(F.pmod(F.xxhash64("sha"), F.lit(buckets)), 30).bitwiseOR(F.xxhash64("sha", F.lit(1)).bitwiseAND((1 << 30) - 1))
+    rows = hashed.select("id", "sha", choice.alias("choice"))
+    bits = stored(repeated_bits(rows), "repeated-bits")
 
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.sha2(norm, 256).alias("sha"),
-        F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("h"),
-    )
-    test = F.lit(True)
-    for i, pos in enumerate(_positions(F.col("h"), bits)):
-        rows = rows.withColumn(f"p{i}", pos).withColumn(f"w{i}", F.expr(f"p{i} div 64"))
-        rows = rows.join(words.select(F.col("word").alias(f"w{i}"), F.col("mask").alias(f"m{i}")), f"w{i}", "left")
-        hit = F.col(f"m{i}").bitwiseAND(F.expr(f"shiftleft(1L, cast(p{i} % 64 as int))")) != 0
-        test = test & F.coalesce(hit, F.lit(False))
-    flagged = stored(rows.select("id", "sha", test.alias("maybe")), "bloom-flagged")
+    turns = max(1, -(-bits.count() * (BUCKET_BITS // 8) // filter_bytes))
+    maybe = F.coalesce(_is_set(F.col("bits"), F.expr("shiftright(choice, 15) & 32767")) & _is_set(F.col("bits"), F.expr("choice & 32767")), F.lit(False))
+    tested = []
+    for turn in range(turns):
+        own = F.pmod("bucket", F.lit(turns)) == turn
+        mine = rows.withColumn("bucket", F.shiftright("choice", 30)).where(own).join(F.broadcast(bits.where(own)), "bucket", "left")
+        tested.append(stored(mine.select("id", "sha", maybe.alias("maybe")), "bloom-tested"))
+    tested = reduce(DataFrame.union, tested)
 
-    maybe = flagged.where("maybe")
-    groups = maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = maybe.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
-    alone = flagged.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    again = tested.where("maybe").select("id", "sha")
+    groups = stored(again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "equal-texts")
+    met = join_groups(again, groups, "sha", "group_size")
+    alone = tested.where("not maybe").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return alone.unionByName(met).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
