@@ -4,22 +4,28 @@ A window of an item is a set of word shingles. A text that contains the window c
 shingles, so under any global order the first shingle of the window, its prefix, is enough to find it; the
 order is rarity over the whole corpus, so that the prefix is the shingle with the fewest false candidates.
 The shingle's place in the window fixes where the window must start in the document (positional bound) and
-how many words must follow (length bound); the words there are then compared one by one.
+how many words must follow (length bound). There, the words of every shingle of the window must be those of
+the document: a join on document and place, since the scan has kept all places of shingles that items have.
+
+The corpus is read once for each block of windows; nearly always there is one block. That scan leaves a
+narrow row for each document and one for each shingle that items have, and nothing else moves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side, stored
+from .common import ascii_lower, small_side, stored, table_bytes
 
 #: Words are what these ASCII separators leave.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 4
 WINDOW = 10
-#: Documents with candidates that are broadcast at most: each holds its windows' words.
-BROADCAST_DOCS = 10_000
+#: Bytes of item shingles that one scan of the corpus looks for.
+BLOCK_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -27,61 +33,65 @@ def words_of(text: Column) -> Column:
 
 
 def shingles(words: DataFrame, size: int) -> DataFrame:
-    """Each row of ``words`` once per shingle of ``size`` words, with ``pos`` from 0 and the shingle's ``token``."""
-    cols = [c for c in words.columns]
-    if size == 1:
-        out = words.select(*cols, F.posexplode("words").alias("pos", "s0"))
-    else:
-        zipped = F.arrays_zip(
-            *[F.slice("words", i + 1, F.greatest(F.size("words") - (size - 1), F.lit(0))).alias(f"s{i}") for i in range(size)]
-        )
-        out = words.select(*cols, F.posexplode(zipped).alias("pos", "s")).select(*cols, "pos", *[F.col(f"s.s{i}") for i in range(size)])
-    return out.select(*cols, "pos", F.xxhash64(*[f"s{i}" for i in range(size)]).alias("token"))
+    """Each row of ``words`` once per shingle of ``size`` words, with ``pos`` from 0, its words ``s0, s1, ..`` and their hash
+    ``token``; once with nulls if it has none."""
+    cols = [c for c in words.columns if c != "words"]
+    parts = [F.slice("words", i + 1, F.greatest(F.size("words") - (size - 1), F.lit(0))).alias(f"s{i}") for i in range(size)]
+    out = words.select(*cols, F.posexplode_outer(F.arrays_zip(*parts)).alias("pos", "s"))
+    names = [f"s{i}" for i in range(size)]
+    return out.select(*cols, "pos", *[F.col(f"s.{n}").alias(n) for n in names], F.xxhash64(*[F.col(f"s.{n}") for n in names]).alias("token"))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """``(item_id, words, size)``: each item's windows, ``size`` the shingle size; items without words have none."""
-    w = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("all")).where(F.size("all") > 0)
+    """``(window, words, size, len, items)``: distinct windows, by their words with spaces between; ``size`` is the shingle size."""
+    w = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("all")).where(F.size("all") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - (window - 1), F.lit(1)))
-    return w.select("item_id", "all", F.explode(starts).alias("at")).select(
-        "item_id",
-        F.slice("all", F.col("at"), window).alias("words"),
-        F.least(F.size("all"), F.lit(SHINGLE)).alias("size"),
-    )
-
-
-def candidates(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, window: int = WINDOW) -> DataFrame | None:
-    """``(d, found)``: for a document's id, where windows may start in it, with the windows' words and items."""
-    windows = stored(
-        item_windows(items, item_id, "text", window).groupBy("words", "size").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")),
-        "item-windows",
-    )
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most SHINGLE values
-    words = docs.select(F.col(doc_id).alias("d"), words_of(F.col("text")).alias("words"))
-    parts = []
-    for size in sorted(sizes):
-        own = windows.where(F.col("size") == size)
-        tokens = stored(shingles(own, size), "item-shingles")
-        vocabulary = small_side(stored(tokens.select("token").distinct(), "item-vocabulary"))
-        # The one scan of the corpus' shingles leaves those that items have; their counts order the shingles.
-        seen = stored(shingles(words.select("d", "words", F.size("words").alias("n_words")), size).select("d", "n_words", "pos", "token").join(vocabulary, "token"), "seen-shingles")
-        rarity = stored(seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "rarity")
-        # A shingle that no document has is the rarest of all: its window can't occur.
-        ranked = tokens.join(small_side(rarity), "token", "left").select("words", "items", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "pos").alias("p"))
-        prefix = ranked.groupBy("words", "items").agg(F.min("p").alias("p")).where("p.n > 0")
-        prefix = small_side(stored(prefix.select(F.col("p.token").alias("token"), F.col("p.pos").alias("at"), F.col("words").alias("window"), "items"), "item-prefixes"))
-        start = F.col("pos") - F.col("at")
-        near = seen.join(prefix, "token").where((start >= 0) & (start + F.size("window") <= F.col("n_words")))
-        parts.append(near.select("d", F.struct(start.alias("start"), "window", "items").alias("c")))
-    if not parts:
-        return None
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return stored(every.groupBy("d").agg(F.collect_list("c").alias("found")), "window-candidates")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    w = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, window))).alias("words"))
+    size = F.least(F.size("words"), F.lit(SHINGLE)).alias("size")
+    return w.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.array_join("words", " ").alias("window"), "words", size, F.size("words").alias("len"), "items")
+
+
+def _seen(docs: DataFrame, size: int, tokens: DataFrame, doc_id: str, keep: tuple[str, ...]) -> DataFrame:
+    """The scan: ``first`` rows, one for each document, and a row for each place of an item's shingle, with its words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), words_of(F.col("text")).alias("words"))
+    vocabulary = F.broadcast(tokens.select("token").distinct().withColumn("own", F.lit(True)))  # of at most BLOCK_BYTES
+    every = shingles(words.withColumn("n_words", F.size("words")), size).join(vocabulary, "token", "left")
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    said = F.when(F.col("own") & F.col("pos").isNotNull(), F.concat_ws(" ", *[f"s{i}" for i in range(size)]))
+    return every.where(first | F.col("own")).select("d", "h", "n_words", first.alias("first"), F.when(first, F.col("kept")).alias("kept"), "pos", said.alias("said"))
+
+
+def _occurrences(seen: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(d, h, start, window, len)``: the places where the windows of ``tokens`` occur in the documents of ``seen``."""
+    places = seen.where("said is not null").select("d", "h", "n_words", "pos", "said")
+    rarity = stored(places.groupBy("said").agg(F.count(F.lit(1)).alias("n")), "rarity")
+    # A shingle that no document has is the rarest of all: its window can't occur.
+    ranked = tokens.join(F.broadcast(rarity), "said", "left").groupBy("window", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "said", "pos")).alias("p"))
+    prefix = stored(ranked.where("p.n > 0").select(F.col("p.said").alias("said"), F.col("p.pos").alias("at"), "window", "len"), "item-prefixes")
+    start = F.col("pos") - F.col("at")
+    near = places.join(F.broadcast(prefix), "said").where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    near = stored(near.select("d", "h", start.alias("start"), "window", "len").distinct(), "window-candidates")
+    wanted = near.join(F.broadcast(tokens.select("window", F.col("pos").alias("i"), "said", "n_tokens")), "window")
+    wanted = wanted.select("d", "h", "start", "window", "len", "n_tokens", (F.col("start") + F.col("i")).alias("pos"), "said")
+    own = near.select(F.col("d").alias("e"), F.col("h").alias("g")).distinct()
+    there = places.join(small_side(stored(own, "candidate-documents")), F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left_semi")
+    there = there.select(F.col("d").alias("e"), F.col("h").alias("g"), F.col("pos").alias("place"), F.col("said").alias("words")).distinct()
+    same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")) & (F.col("pos") == F.col("place")) & (F.col("said") == F.col("words"))
+    found = wanted.join(there, same).groupBy("d", "h", "start", "window", "len", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    return found.where("n = n_tokens").select("d", "h", "start", "window", "len")
+
+
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    item_id: str = "item_id",
+    window: int = WINDOW,
+    keep: tuple[str, ...] = (),
+    hash_col: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``: one row per document.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter item. A document's word is
@@ -89,35 +99,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     clean, such items match nothing. Repeated rows, rows that share an id but not a text, and rows with a null
     id each get a row of their own, judged by their own text. Equal items each count, repeated item ids once;
     a null item id counts for hits, not among the items. Further columns are ignored but for those named in
-    ``keep``, which are passed through.
+    ``keep``, which are passed through; ``hash_col`` names a column to add, ``xxhash64`` of the text (null: empty).
     """
-    found = candidates(docs, items, doc_id, item_id, window)
-    rows = docs.select(F.col(doc_id).alias("d"), words_of(F.col("text")).alias("words"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
-    if found is None:
-        rows = rows.withColumn("found", F.expr("cast(array() as array<struct<start:int,window:array<string>,items:array<string>>>)"))
+    windows = stored(item_windows(items, item_id, "text", window), "item-windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().orderBy(F.desc("size")).collect()]  # at most SHINGLE values
+    base, hits = None, []
+    for size in sizes or [SHINGLE]:
+        own = shingles(windows.where(F.col("size") == size).select("window", "len", (F.col("len") - size + 1).alias("n_tokens"), "words"), size)
+        tokens = stored(own.select("window", "len", "n_tokens", "pos", "token", F.concat_ws(" ", *[f"s{i}" for i in range(size)]).alias("said")), "item-shingles")
+        blocks = max(1, -(-table_bytes(tokens) // block_bytes))
+        for b in range(blocks):
+            part = tokens.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+            seen = stored(_seen(docs, size, part, doc_id, keep if base is None else ()), "seen-shingles")
+            base = seen.where("first") if base is None else base
+            if sizes:
+                hits.append(stored(_occurrences(seen, part), "occurrences"))
+    rows = base.select("d", "h", "kept", F.col("n_words").cast("long").alias("n_words"))
+    empty = F.array().cast("array<string>")
+    if hits:
+        found = reduce(DataFrame.unionByName, hits).join(windows.select("window", "items"), "window")
+        span = F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end"))
+        found = found.groupBy("d", "h").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        covered = F.aggregate(
+            "spans",
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+            lambda a, s: F.struct(
+                (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["end"]), F.lit(0))).cast("long").alias("n"),
+                F.greatest(a["end"], s["end"]).alias("end"),
+            ),
+            lambda a: a["n"],
+        )
+        found = stored(found.select(F.col("d").alias("e"), F.col("h").alias("g"), covered.alias("n_hit"), "items"), "contaminated-documents")
+        rows = rows.join(small_side(found), F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left")
     else:
-        found = small_side(found, BROADCAST_DOCS).withColumnRenamed("d", "e")
-        rows = rows.join(found, F.col("d").eqNullSafe(F.col("e")), "left")
-    exact = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,window:array<string>,items:array<string>>>")), lambda c: F.slice("words", c["start"] + 1, F.size(c["window"])) == c["window"])
-    rows = rows.select("d", "kept", F.size("words").cast("long").alias("n_words"), exact.alias("hits"))
-    spans = F.array_sort(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["window"])).alias("end"))))
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["end"]), F.lit(0))).cast("long").alias("n"),
-            F.greatest(a["end"], s["end"]).alias("end"),
-        ),
-        lambda a: a["n"],
-    )
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    rows = rows.select("d", "kept", "n_words", covered.alias("n_hit"), names.alias("items"))
+        rows = rows.withColumns({"n_hit": F.lit(0).cast("long"), "items": empty})
+    items_of = F.coalesce("items", empty)
     return rows.select(
         F.col("d").alias(doc_id),
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         *[F.col(f"kept.{c}").alias(c) for c in keep],
+        *([F.col("h").alias(hash_col)] if hash_col else []),
     )
