@@ -2,8 +2,9 @@
 
 An archive file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a
 Zstandard frame; each record follows as a frame of its own, so that a record can be read by its offset. The
-dictionary is built from the file's own records. Files are written by tasks to a temporary name and then
-renamed, so a task that runs again replaces its own file and nothing else.
+dictionary is built from the file's own records. A file's name holds the attempt of the task that wrote it, and
+the manifest lists the files of the attempts that counted: a task that runs again, perhaps with its rows in
+another order, never touches them, and what a lost attempt wrote is never read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from .common import fresh_path, stored
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 48 << 10
-#: The dictionary is built from records of at most so many bytes in all, spread over the file's records.
+#: The dictionary takes at most this share of the records.
+DICTIONARY_SHARE = 8
+#: The dictionary is built from pieces of at most so many bytes in all, spread evenly over the bytes of the file's records.
 SAMPLE_BYTES = 1 << 20
+PIECE_BYTES = 4 << 10
 FILE_BYTES = 12 << 20
 READ_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -78,16 +82,24 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from an even spread of the records; empty where they are too few or too small for one."""
+    """A dictionary from pieces spread over all records; where they are too few or too unlike to train one, the pieces
+    themselves. Records of under 64 bytes in all have none."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[: 64 << 10] for r in records[::step]]
-    if len(samples) < 16 or sum(map(len, samples)) < 4 * DICTIONARY_BYTES:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8).as_bytes()
-    except zstandard.ZstdError:  # samples that have nothing in common
+    if total < 64:
         return b""
+    size = min(DICTIONARY_BYTES, max(64, total // DICTIONARY_SHARE))
+    step = PIECE_BYTES * max(1, -(-total // SAMPLE_BYTES))
+    pieces, skip = [], 0  # skip: bytes until the next piece begins
+    for r in records:
+        pieces += [r[at : at + PIECE_BYTES] for at in range(skip, len(r), step)]
+        skip = (skip - len(r)) % step
+    if len(pieces) >= 16:
+        try:
+            return zstandard.train_dictionary(size, pieces, k=200, d=8).as_bytes()
+        except zstandard.ZstdError:  # pieces that have nothing in common
+            pass
+    part = max(1, size // len(pieces))
+    return b"".join(p[:part] for p in pieces)[:size]
 
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
@@ -125,11 +137,10 @@ def _writer(folder: str):
         done, held, size = [], [], 0
 
         def close() -> None:
-            name = f"{root}/part-{context.partitionId():06d}-{len(done):04d}.warc.zst"
+            name = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):04d}.warc.zst"
             data = archive(held)
-            with files.open_output_stream(temporary := f"{name}.{context.taskAttemptId()}.tmp", compression=None) as f:
+            with files.open_output_stream(name, compression=None) as f:
                 f.write(data)
-            files.move(temporary, name)
             done.append((name, len(held), len(data)))
 
         for b in batches:
