@@ -2,11 +2,13 @@
 
 A text is cut into sentences, however its lines are wrapped, each normalised to lower-case letters and digits; known
 licence sentences have identifiers, and ordered rules name the identifier sequences that make a licence. All of it is one projection:
-the sentence table and the rules are short fixed lists, so nothing is joined or shuffled.
+the sentence table and the rules are fixed lists of a few hundred entries, so nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,45 +47,106 @@ SENTENCES = {
     29: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     30: "see the license for the specific language governing permissions and limitations under the license",
     31: "this project is licensed under the mit license",
-    32: "this software is licensed under the mit license",
-    33: "this project is licensed under the apache license version 2 0",
-    34: "this project is licensed under the gnu general public license version 3",
+    35: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    36: "this is free and unencumbered software released into the public domain",
+    37: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    38: "this source code form is subject to the terms of the mozilla public license v",
+    39: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    40: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    41: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    42: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    43: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    44: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    45: "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    46: "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+    47: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    48: "this software is provided as is without any express or implied warranty",
+    49: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    50: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    51: "in no event will the authors be held liable for any damages arising from the use of this software",
+}
+
+#: Licences by the names that notices give them.
+NAMES = {
+    "the mit license": "MIT",
+    "the apache license version 2 0": "Apache-2.0",
+    "the apache license 2 0": "Apache-2.0",
+    "the bsd 2 clause license": "BSD-2-Clause",
+    "the bsd 3 clause license": "BSD-3-Clause",
+    "the bsd license": "BSD",
+    "the isc license": "ISC",
+    "the mozilla public license 2 0": "MPL-2.0",
+    "the mozilla public license version 2 0": "MPL-2.0",
+    "the eclipse public license 2 0": "EPL-2.0",
+    "the boost software license version 1 0": "BSL-1.0",
+    "the gnu general public license version 2": "GPL-2.0-only",
+    "the gnu general public license version 3": "GPL-3.0-only",
+    "the gnu lesser general public license version 3": "LGPL-3.0-only",
+    "the gnu affero general public license version 3": "AGPL-3.0-only",
+    "the unlicense": "Unlicense",
+    "cc by 4 0": "CC-BY-4.0",
+    "cc by sa 4 0": "CC-BY-SA-4.0",
+    "cc by nc 4 0": "CC-BY-NC-4.0",
+    "a creative commons attribution 4 0 international license": "CC-BY-4.0",
+    "a creative commons attribution sharealike 4 0 international license": "CC-BY-SA-4.0",
+    "a creative commons attribution noncommercial 4 0 international license": "CC-BY-NC-4.0",
 }
 
-#: Rules in order of precedence, a licence and the identifiers that follow each other.
+#: How notices lead to the name.
+LEADS = ("licensed under", "released under", "this project is licensed under", "this software is licensed under", "this work is licensed under", "this program is licensed under", "this code is released under", "distributed under")
+
+_NOTICES = {f"{lead} {name}": licence for name, licence in NAMES.items() for lead in LEADS}
+_NOTICES |= {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', licence.lower())}": licence for licence in sorted({*NAMES.values(), "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "CC0-1.0", "Zlib"})}
+_OWN = {s: i for i, s in SENTENCES.items()}
+_IDS = {s: _OWN.get(s, 1000 + k) for k, s in enumerate(_NOTICES)}
+SENTENCES |= {i: s for s, i in _IDS.items()}
+
+#: Rules in order of precedence, a licence and the identifiers that follow each other. Notices come last.
 RULES = (
     ("MIT", (1, 2, 3, 20)),
     ("MIT", (1, 2, 3)),
+    ("BSD-3-Clause", (17, 21, 22, 23)),
+    ("BSD-2-Clause", (17, 21, 22)),
     ("Apache-2.0", (5, 6, 7)),
     ("Apache-2.0", (27,)),
     ("GPL-3.0-or-later", (11, 18)),
+    ("GPL-2.0-or-later", (43, 18)),
+    ("AGPL-3.0-or-later", (42, 18)),
+    ("LGPL-2.1-or-later", (40, 50)),
+    ("LGPL-3.0-or-later", (41, 50)),
+    ("Unlicense", (36, 37)),
+    ("Zlib", (48, 51)),
     ("Apache-2.0", (5, 6)),
     ("MIT", (1, 2)),
     ("MIT", (1,)),
     ("GPL-3.0-or-later", (11,)),
+    ("GPL-2.0-or-later", (43,)),
+    ("AGPL-3.0-or-later", (42,)),
+    ("LGPL-2.1-or-later", (40,)),
+    ("LGPL-3.0-or-later", (41,)),
     ("GPL-3.0-only", (10,)),
-    ("Apache-2.0", (4,)),
     ("Apache-2.0", (5,)),
-    ("MIT", (8,)),
-    ("MIT", (9,)),
-    ("MIT", (31,)),
-    ("MIT", (32,)),
-    ("Apache-2.0", (33,)),
-    ("GPL-3.0-only", (34,)),
-    ("CC-BY-NC-4.0", (12,)),
-    ("CC-BY-SA-4.0", (14,)),
-    ("CC-BY-4.0", (13,)),
-    ("CC-BY-4.0", (15,)),
+    ("ISC", (35,)),
+    ("Unlicense", (36,)),
+    ("MPL-2.0", (38,)),
+    ("EPL-2.0", (44,)),
+    ("BSL-1.0", (47,)),
+    ("WTFPL", (49,)),
     ("CC0-1.0", (19,)),
+    ("CC0-1.0", (45,)),
+    ("CC0-1.0", (46,)),
     ("BSD", (16, 17)),
     ("BSD", (17,)),
     ("proprietary", (16,)),
+    *((licence, (_IDS[s],)) for s, licence in _NOTICES.items() if _IDS[s] != 10),
 )
 
 
 #: Between sentences, in place of white space after a full stop, exclamation or question mark, or the colon before conditions, and of lines without letters and digits.
 CUT = "\x01"
 BLANK, STOP = r"\n[^a-z0-9]*\n", r"([.!?]|conditions:|met:)[ \t\r\n]+"
+#: The number or letter of a clause is no sentence.
+NUMBER = "^([0-9]{1,2}|[a-z])$"
 
 
 def most_words(known) -> int:
@@ -93,7 +156,7 @@ def most_words(known) -> int:
 
 def sentences(text: Column, known=tuple(SENTENCES.values())) -> Column:
     """Normalised sentences: cut at blank lines and at white space after a full stop, exclamation or question mark, or
-    the colon that conditions follow.
+    the colon that conditions follow; the number or letter of a clause is left out.
 
     Lines of a sentence are joined where they make a known one, with or without the lines before it, such as a
     title; other lines stay apart, so that a notice on a line of its own is found as well.
@@ -109,7 +172,7 @@ def sentences(text: Column, known=tuple(SENTENCES.values())) -> Column:
         whole = F.transform(F.array(F.get(starts, F.lit(0))), lambda i: F.when(i.isNull(), a).otherwise(F.concat(F.slice(a, 1, i - 1), F.array(from_(i)))))
         return F.when(F.size(a) < 2, a).otherwise(F.flatten(whole))
 
-    return F.flatten(F.transform(lines, units))
+    return F.filter(F.flatten(F.transform(lines, units)), lambda s: ~s.rlike(NUMBER))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:

@@ -10,7 +10,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_model import language_model_scores
-from .licenses import BLANK, CUT, RULES, SENTENCES, STOP, license_scan, most_words
+from .licenses import BLANK, CUT, NUMBER, RULES, SENTENCES, STOP, license_scan, most_words
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
@@ -95,8 +95,8 @@ select doc_id, max(doc_id) over (partition by text_sha256) keep_id, count(*) ove
 with known(sid, s) as (values {", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())}),
 rules(ord, name, ids) as (values {", ".join(f"({i}, '{n}', {list(ids)})" for i, (n, ids) in enumerate(RULES))}),
 d as (
-  select doc_id, flatten(list_transform(ls, lambda a: case when len(a) < 2 then a else coalesce(
-    list_filter(list_transform(range(greatest(len(a) - {most_words(SENTENCES.values()) - 1}, 1), len(a)), lambda i: case when list_contains({list(SENTENCES.values())}, array_to_string(a[i:], ' ')) then list_append(a[:i - 1], array_to_string(a[i:], ' ')) end), lambda x: x is not null)[1], a) end)) s
+  select doc_id, list_filter(flatten(list_transform(ls, lambda a: case when len(a) < 2 then a else coalesce(
+    list_filter(list_transform(range(greatest(len(a) - {most_words(SENTENCES.values()) - 1}, 1), len(a)), lambda i: case when list_contains({list(SENTENCES.values())}, array_to_string(a[i:], ' ')) then list_append(a[:i - 1], array_to_string(a[i:], ' ')) end), lambda x: x is not null)[1], a) end)), lambda x: not regexp_matches(x, '{NUMBER}')) s
   from (select doc_id, list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{BLANK}', '{CUT}', 'g'), '{STOP}', '\\1{CUT}', 'g'), '{CUT}'),
     lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda q: trim(regexp_replace(q, '[^a-z0-9]+', ' ', 'g'))), lambda q: q <> '')) ls from documents)
 ), e as (select doc_id, pos, sid from (select doc_id, unnest(s) s, unnest(range(len(s))) pos from d) join known using (s)),
