@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_digest
-from .common import fresh_path
+from .common import fresh_path, stored
 
 CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 
@@ -49,7 +49,8 @@ def token_counts(
     ``normalise`` is applied before digest and encoding (by default nothing). A null text counts as empty:
     0 bytes, 0 tokens. Repeated rows and repeated ids each get their row; equal texts are encoded once. No
     begin, end or added special tokens; special strings inside a text are handled as the library does by
-    default. ``cache_path`` names a Parquet table to read and append to; without one a new table is made.
+    default. ``cache_path`` names a Parquet table, partitioned by tokenizer, to read and append to; without one a new
+    table is made.
     Appending twice after a failure is harmless: a digest's rows in the cache are equal, and one is read.
     Null ids are kept. Further columns are ignored; an empty table gives an empty result.
     """
@@ -57,10 +58,10 @@ def token_counts(
     version = tokenizer_digest(tokenizer_path)
     cache_path = cache_path or fresh_path(spark, "token-counts")
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    keyed = stored(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "text-digests")
 
     # The empty write makes the table, so that it can be read even where it is new.
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     def cache() -> DataFrame:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
@@ -70,9 +71,10 @@ def token_counts(
     whole = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), text.alias("text"))
     misses = whole.join(first, (F.col("key") == F.col("digest")) & F.col("id").eqNullSafe(F.col("first"))).select("digest", "text")
     counted = misses.mapInArrow(_counts(tokenizer_path), "digest string, n_tokens long")
-    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
+    counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    counts = cache().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Of a large cache, only the counts of these texts are brought together.
+    counts = cache().select("digest", "n_tokens").join(keyed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "digest", "left").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit")
     )
