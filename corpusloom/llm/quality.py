@@ -195,7 +195,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
     """Fit on at most ``sample_docs`` labelled documents that are not held out, the first ones by a hash of their ids.
 
-    Rows without id or label don't count; of several labels of a document the lowest does. Without any labelled
+    Rows without id or label don't count; of several labels of a document the lowest does. Where ids repeat in
+    ``docs``, at most twice as many rows are fitted, the first by a hash of their features. Without any labelled
     document all scores are one half.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     kind = "label int, features binary"
-    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_features, kind).orderBy("label", F.sha1("features")).limit(2 * sample_docs).collect()
+    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_features, kind).orderBy(F.sha1("features"), "label").limit(2 * sample_docs).collect()
     own = [np.frombuffer(r["features"], np.float32).reshape(-1, OWN).astype(np.float64) for r in got]
     return fit(np.concatenate(own) if own else np.zeros((0, OWN)), np.array([len(x) for x in own], np.int64), np.array([r["label"] for r in got], np.float64))
 
