@@ -61,14 +61,15 @@ def ris(title, authors, source, published, doi, url, abstract) -> Column:
     return F.array_join(F.array_compact(lines), "\n")
 
 
-def citation_key(doi, authors, source, published, title) -> Column:
-    """The DOI's last part, else family name, year and first word of the title."""
-    by_doi = F.regexp_replace(F.element_at(F.split(empty_if_null(doi), "/"), -1), r"[^A-Za-z0-9_.:-]", "")
-    name = first_filled(F.get(authors, 0), source, F.lit("NuclearFrontier"))
-    family = F.element_at(F.split(name, r"\s+"), -1)
-    year = first_filled(F.substring(empty_if_null(published), 1, 4), F.lit("nd"))
-    word = first_filled(F.regexp_extract(first_filled(title, F.lit("paper")), "[A-Za-z0-9]+", 0), F.lit("paper"))
-    return first_filled(by_doi, F.regexp_replace(F.concat(family, year, word), "[^A-Za-z0-9]", ""))
+def citation_key(doi, authors, source, published, title, nobody: str = "Anonymous") -> Column:
+    """What follows the DOI's last slash; without a DOI the last word of the first author (the source, else ``nobody``), the year and the title's first word."""
+    suffix = F.regexp_replace(F.substring_index(empty_if_null(doi), "/", -1), r"[^\w.:-]", "")
+    parts = (
+        F.regexp_extract(first_filled(F.get(authors, 0), source, F.lit(nobody)), r"(\S+)\s*$", 1),
+        F.coalesce(F.nullif(F.substring(published, 1, 4), F.lit("")), F.lit("nd")),
+        F.coalesce(F.nullif(F.regexp_extract(title, "[A-Za-z0-9]+", 0), F.lit("")), F.lit("paper")),
+    )
+    return first_filled(suffix, F.regexp_replace(F.array_join(F.array(*parts), ""), "[^A-Za-z0-9]", ""))
 
 
 def is_preprint(source_type, arxiv_id, doi) -> Column:

@@ -1,4 +1,8 @@
-"""Term matching, relevance gates, multi-label classification and scores. Every operator is one narrow projection."""
+"""Term matching, relevance gates, multi-label classification and scores. Every operator is one narrow projection.
+
+A whole dictionary is matched in one pass over a text: one pattern finds, at every word's start, the longest listed
+term, and terms that it begins with are known beforehand. What follows works on the short array of terms that occur.
+"""
 
 from __future__ import annotations
 
@@ -58,19 +62,55 @@ def term_hit(lowered: Column, term: str) -> Column:
 
 def match_count(lowered: Column, terms) -> Column:
     """How many of the listed terms occur."""
-    out = F.lit(0)
-    for t in terms:
-        out = out + term_hit(lowered, t).cast("int")
-    return out
+    return F.size(term_hits(lowered, terms))
+
+
+def _norm(term: str) -> str:
+    return term.strip().lower()
+
+
+def _pattern(words: list[str]) -> str:
+    """Words' alternatives, grouped by first letter, the longest first."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_letter.setdefault(w[0], []).append(w[1:].replace(" ", r"\s+"))
+    groups = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items()))
+    return f"(?<![a-z0-9])(?=((?:{groups})(?![a-z0-9])))"
+
+
+def found_terms(lowered: Column, terms) -> Column:
+    """The normalised terms that occur in lower-cased text, in no order; words by one pattern, other terms each by itself."""
+    norm = sorted({_norm(t) for t in terms})
+    words = [t for t in norm if _WORDS.fullmatch(t)]
+    other = [F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in norm if not _WORDS.fullmatch(t)]
+    parts = [F.array_compact(F.array(*other))] if other else []
+    if words:
+        hits = F.regexp_extract_all(lowered, F.lit(_pattern(words)), 1)
+        if any(" " in w for w in words):
+            hits = F.transform(hits, lambda h: F.regexp_replace(h, r"\s+", " "))
+        hits = F.array_distinct(hits)
+        begun = {w: [v for v in words if w != v and w.startswith(v) and w[len(v)] in " -"] for w in words}
+        implied = [F.when(F.array_contains(hits, w), F.array(*map(F.lit, short))) for w, short in begun.items() if short]
+        parts += [hits, *([F.flatten(F.array_compact(F.array(*implied)))] if implied else [])]
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+
+
+def listed(found: Column, terms) -> Column:
+    """Of ``found_terms``, those of a list, in the list's order and spelling."""
+    return F.array_compact(F.array(*[F.when(F.array_contains(found, _norm(t)), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
 
 
 def term_hits(lowered: Column, terms) -> Column:
     """The terms that occur, in the list's order."""
-    return F.array_compact(F.array(*[F.when(term_hit(lowered, t), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
+    return listed(found_terms(lowered, terms), terms)
+
+
+def _met(found: Column, terms) -> Column:
+    return F.arrays_overlap(found, F.array(*[F.lit(_norm(t)) for t in terms])) if terms else F.lit(False)
 
 
 def _any(lowered: Column, terms) -> Column:
-    return match_count(lowered, terms) > 0 if terms else F.lit(False)
+    return F.size(found_terms(lowered, terms)) > 0 if terms else F.lit(False)
 
 
 def relevant(title: Column, abstract: Column, mode: Column, topics: Topics) -> Column:
@@ -106,47 +146,52 @@ def source_term_gate(records: DataFrame, sources: DataFrame) -> DataFrame:
     return r.where(keep).drop("_title", "include", "exclude", "require_any")
 
 
-def _gate(lowered: Column, source: Column, hits: Column, gate: Gate) -> Column:
+def _gate(found: Column, lowered: Column, source: Column, hits: Column, gate: Gate) -> Column:
     core = any_of(source, gate.core_sources) if gate.core_sources else F.lit(False)
-    strong = F.exists(hits, lambda h: F.lower(h).isin(*[s.lower() for s in gate.strong])) if gate.strong else F.lit(False)
-    context = _any(lowered, gate.context)
+    strong = F.arrays_overlap(F.transform(hits, lambda h: F.lower(h)), F.array(*[F.lit(s.lower()) for s in gate.strong])) if gate.strong else F.lit(False)
+    context = _met(found, gate.context)
     if gate.also:
-        context = context & _any(lowered, gate.also)
+        context = context & _met(found, gate.also)
     excluded = any_of(lowered, gate.excluded) & ~core if gate.excluded else F.lit(False)
     return strong | (~excluded & (core | context))
 
 
-def classify(title: Column, abstract: Column, source: Column, topics: Topics, defaults: Column | None = None) -> tuple[Column, Column]:
-    """K1-K3: categories and tags.
+def dictionary(topics: Topics) -> list[str]:
+    """All terms that classification looks for."""
+    terms = [k for t in topics.topics for k in t.keywords] + [*EXPERIMENTAL, *THEORETICAL, *REVIEW]
+    return terms + [c for g in topics.gates.values() for c in (*g.context, *g.also)]
+
+
+def classify(records: DataFrame, topics: Topics, found: str, text: str, source: str, defaults: Column | None = None) -> DataFrame:
+    """K1-K3: ``records`` with ``categories`` and ``tags``, out of the columns of found terms, lower-cased text and source.
 
     Topics whose hits pass their gate are ordered by hits, priority, name; the first four and the source's default topics
     are then ordered by priority (ties as before) and cut to four. Tags are the first three hits of each passing topic, at
     most eight. Without categories: the defaults, the source's fallback, the general fallback.
     """
-    text = F.lower(F.concat_ws(" ", empty_if_null(title), empty_if_null(abstract), empty_if_null(source)))
-    low_source = F.lower(empty_if_null(source))
-    scored, tags = [], []
-    for t in topics.topics:
-        hits = term_hits(text, t.keywords)
-        passes = F.size(hits) > 0
-        if t.id in topics.gates:
-            passes = passes & _gate(text, low_source, hits, topics.gates[t.id])
-        scored.append(F.when(passes, F.struct((-F.size(hits)).alias("h"), F.lit(-t.priority).alias("p"), F.lit(t.name).alias("n"), F.lit(t.id).alias("id"))))
-        tags.append(F.when(passes, F.slice(hits, 1, 3)))
-    first = F.slice(F.array_sort(F.array_compact(F.array(*scored))), 1, 4)
     known = [t.id for t in topics.topics]
     empty = F.array().cast("array<string>")
+    # Each step is a column of its own, used more than once and so computed once.
+    r = records.withColumns({f"_h{i}": listed(F.col(found), t.keywords) for i, t in enumerate(topics.topics)})
+    passes = {}
+    for i, t in enumerate(topics.topics):
+        own = F.size(f"_h{i}") > 0
+        passes[i] = own & _gate(F.col(found), F.col(text), F.col(source), F.col(f"_h{i}"), topics.gates[t.id]) if t.id in topics.gates else own
+    scored = [F.when(passes[i], F.struct((-F.size(f"_h{i}")).alias("h"), F.lit(-t.priority).alias("p"), F.lit(t.name).alias("n"), F.lit(t.id).alias("id"), F.slice(f"_h{i}", 1, 3).alias("tags"), F.lit(i).alias("i"))) for i, t in enumerate(topics.topics)]
+    r = r.withColumn("_passing", F.array_compact(F.array(*scored))).drop(*[f"_h{i}" for i in passes])
+    first = F.slice(F.array_sort("_passing"), 1, 4)
     supplied = F.filter(F.coalesce(defaults, empty), lambda c: c.isin(*known)) if defaults is not None else empty
+    r = r.withColumn("_supplied", supplied)
+    ids = F.array_distinct(F.concat(F.transform(first, lambda s: s["id"]), F.filter("_supplied", lambda c: c != topics.general)))
     priority = F.create_map(*[F.lit(x) for t in topics.topics for x in (t.id, t.priority)])
-    ids = F.transform(first, lambda s: s["id"])
-    ids = F.array_distinct(F.concat(ids, F.filter(supplied, lambda c: c != topics.general)))
     ranked = F.array_sort(F.transform(ids, lambda c, i: F.struct((-F.coalesce(F.try_element_at(priority, c), F.lit(0))).alias("p"), i.alias("i"), c.alias("id"))))
-    ids = F.slice(F.transform(ranked, lambda s: s["id"]), 1, 4)
+    r = r.withColumn("_ids", F.slice(F.transform(ranked, lambda s: s["id"]), 1, 4))
     fallback = F.lit(topics.fallback)
     for names, category in reversed(topics.source_fallbacks):
-        fallback = F.when(any_of(low_source, names), category).otherwise(fallback)
-    categories = F.when(F.size(ids) > 0, ids).when(F.size(supplied) > 0, supplied).otherwise(F.array(fallback))
-    return categories, F.slice(F.array_distinct(F.flatten(F.array_compact(F.array(*tags)))), 1, 8)
+        fallback = F.when(any_of(F.col(source), names), category).otherwise(fallback)
+    categories = F.when(F.size("_ids") > 0, F.col("_ids")).when(F.size("_supplied") > 0, F.col("_supplied")).otherwise(F.array(fallback))
+    tags = F.slice(F.array_distinct(F.flatten(F.transform("_passing", lambda s: s["tags"]))), 1, 8)
+    return r.withColumns({"categories": categories, "tags": tags}).drop("_passing", "_supplied", "_ids")
 
 
 #: Words of the methods.
@@ -155,33 +200,38 @@ THEORETICAL = ("theory", "theoretical", "calculation", "shell model", "density f
 REVIEW = ("review", "overview", "progress in", "status report")
 
 
-def methods(title: Column, abstract: Column, source: Column, experimental=EXPERIMENTAL, theoretical=THEORETICAL, review=REVIEW) -> Column:
-    """K4."""
-    text = F.lower(F.concat_ws(" ", empty_if_null(title), empty_if_null(abstract), empty_if_null(source)))
-    low = F.lower(empty_if_null(source))
+def methods(found: Column, source: Column, experimental=EXPERIMENTAL, theoretical=THEORETICAL, review=REVIEW) -> Column:
+    """K4, out of found terms and the lower-cased source."""
     return F.array_compact(
         F.array(
-            F.when(F.contains(low, F.lit("nucl-ex")) | _any(text, experimental), F.lit("experimental")),
-            F.when(F.contains(low, F.lit("nucl-th")) | _any(text, theoretical), F.lit("theoretical")),
-            F.when(_any(text, review), F.lit("review")),
+            F.when(F.contains(source, F.lit("nucl-ex")) | _met(found, experimental), F.lit("experimental")),
+            F.when(F.contains(source, F.lit("nucl-th")) | _met(found, theoretical), F.lit("theoretical")),
+            F.when(_met(found, review), F.lit("review")),
         )
     )
 
 
-def importance(title: Column, abstract: Column, weight: Column, categories: Column, topics: Topics) -> tuple[Column, Column]:
-    """K6: score up to 100 and its parts: source weight, topic priority, priority terms, breadth, abstract."""
-    text = F.lower(F.concat_ws(" ", empty_if_null(title), empty_if_null(abstract)))
+def importance(records: DataFrame, hits: Column, abstract: Column, weight: Column, topics: Topics) -> DataFrame:
+    """K6: ``records``, which have categories, with ``importance``, up to 100, and ``score_reasons``, its parts: source weight, topic
+    priority, priority terms, breadth, abstract."""
     priority = F.create_map(*[F.lit(x) for t in topics.topics for x in (t.id, t.priority)])
-    focus = F.coalesce(F.array_max(F.transform(categories, lambda c: F.coalesce(F.try_element_at(priority, c), F.lit(0)))), F.lit(0))
-    breakthrough = F.least(F.lit(20), match_count(text, topics.priority_terms) * 8)
-    breadth = F.when(F.size(categories) > 1, F.least(F.lit(6), (F.size(categories) - 1) * 2)).otherwise(0)
-    full = F.when(empty_if_null(abstract) != "", 2).otherwise(0)
-    score = F.least(F.lit(100), weight * 8 + focus + breakthrough + breadth + full)
+    r = records.withColumn(
+        "_parts",
+        F.struct(
+            (weight * 8).alias("weight"),
+            F.coalesce(F.array_max(F.transform("categories", lambda c: F.coalesce(F.try_element_at(priority, c), F.lit(0)))), F.lit(0)).alias("focus"),
+            F.least(F.lit(20), hits * 8).alias("breakthrough"),
+            F.when(F.size("categories") > 1, F.least(F.lit(6), (F.size("categories") - 1) * 2)).otherwise(0).alias("breadth"),
+            F.when(empty_if_null(abstract) != "", 2).otherwise(0).alias("full"),
+        ),
+    )
+    part = lambda c: F.col(f"_parts.{c}")
+    score = F.least(F.lit(100), part("weight") + part("focus") + part("breakthrough") + part("breadth") + part("full"))
     reason = lambda label, n: F.when(n > 0, F.concat(F.lit(f"{label} +"), n.cast("string")))
     reasons = F.array_compact(
-        F.array(F.concat(F.lit("来源权重 +"), (weight * 8).cast("string")), reason("核物理研究侧重", focus), reason("突破性表述", breakthrough), reason("跨领域关联", breadth), F.when(full > 0, F.lit("完整摘要 +2")))
+        F.array(F.concat(F.lit("来源权重 +"), part("weight").cast("string")), reason("核物理研究侧重", part("focus")), reason("突破性表述", part("breakthrough")), reason("跨领域关联", part("breadth")), F.when(part("full") > 0, F.lit("完整摘要 +2")))
     )
-    return score, reasons
+    return r.withColumns({"importance": score, "score_reasons": reasons}).drop("_parts")
 
 
 def reclassify(records: DataFrame, topics: Topics, sources: DataFrame | None = None) -> DataFrame:
@@ -194,19 +244,21 @@ def reclassify(records: DataFrame, topics: Topics, sources: DataFrame | None = N
         r = r.join(F.broadcast(sources.select("source", "weight", "default_categories")), "source", "left")
     weight = F.coalesce(F.col("weight"), F.lit(3)) if "weight" in r.columns else F.lit(3)
     defaults = F.col("default_categories") if "default_categories" in r.columns else None
-    categories, tags = classify(F.col("title"), F.col("abstract"), F.col("source"), topics, defaults)
-    r = r.withColumns({"categories": categories, "tags": tags, "methods": methods(F.col("title"), F.col("abstract"), F.col("source"))})
-    score, reasons = importance(F.col("title"), F.col("abstract"), weight, F.col("categories"), topics)
+    body = F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("abstract")))
+    source = F.lower(empty_if_null(F.col("source")))
+    r = r.withColumns({"_body": F.lower(body), "_source": source}).withColumn("_text", F.concat_ws(" ", "_body", "_source"))
+    r = r.withColumns({"_found": found_terms(F.col("_text"), dictionary(topics)), "_hits": F.size(found_terms(F.col("_body"), topics.priority_terms))})
+    r = classify(r, topics, "_found", "_text", "_source", defaults)
+    r = r.withColumn("methods", methods(F.col("_found"), F.col("_source")))
+    r = importance(r, F.col("_hits"), F.col("abstract"), weight, topics)
     n = F.size("tags")
     return r.withColumns(
         {
             "primary_topic": F.coalesce(F.get("categories", F.lit(0)), F.lit(topics.fallback)),
             "classification_confidence": F.round(F.when(n > 0, F.least(F.lit(0.98), 0.48 + n * 0.08)).otherwise(0.38), 2),
             "classification_evidence": F.slice("tags", 1, 6),
-            "importance": score,
-            "score_reasons": reasons,
         }
-    ).drop("weight", "default_categories")
+    ).drop("weight", "default_categories", "_body", "_source", "_text", "_found", "_hits")
 
 
 def notice_labels(text: Column, rules) -> Column:

@@ -161,11 +161,29 @@ def abstract_availability(papers: DataFrame, attempts: list[str]) -> DataFrame:
     return papers.withColumns({"abstract_checked_sources": asked, "abstract_status": status})
 
 
-def backfill_month(existing: DataFrame, incoming: DataFrame, results: DataFrame) -> DataFrame:
-    """Months merged from existing and incoming records, the later of one id, with their counts and whether all of their
-    sources were read. ``results(month, source, ok)``."""
-    both = existing.withColumn("_o", F.lit(0)).unionByName(incoming.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_o"), F.desc("seq")))).where("_n = 1")
-    counts = both.groupBy(F.substring("published", 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("count"))
+def backfill_months(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Every month's records after its incoming ones are merged in (J1), with ``month`` and ``place``, by date, source and title
+    descending. Months, those of ``published``, never mix: ids and title keys count within one."""
+    head = "0000-00 "
+
+    def within(df: DataFrame) -> DataFrame:
+        month = F.rpad(F.substring(empty_if_null(F.col("published")), 1, 7), len(head) - 1, "-")
+        return df.withColumns({"title": F.concat(month, F.lit(" "), empty_if_null(F.col("title"))), "id": F.concat(month, F.lit(" "), F.col("id").cast("string")), "history_month": month})
+
+    merged = merge_records(within(existing), within(incoming))
+    rest = lambda c: F.substr(c, F.lit(len(head) + 1))
+    merged = merged.withColumns({"title": rest("title"), "month": F.substring("id", 1, len(head) - 1), "id": rest("id").cast(existing.schema["id"].dataType)})
+    order = Window.partitionBy("month").orderBy(F.desc(empty_if_null(F.col("published"))), F.desc(empty_if_null(F.col("source"))), F.desc(empty_if_null(F.col("title"))), F.desc("id"))
+    return merged.withColumn("place", F.row_number().over(order)).drop("history_month")
+
+
+def backfill_status(existing: DataFrame, incoming: DataFrame, results: DataFrame) -> DataFrame:
+    """``month, complete, sources, count, new_count, abstract_count``: whether all of a month's sources were read, its records
+    after the merge, the really new ones (J2), and those with an abstract. ``results(month, source, ok)``."""
+    month = F.substring(empty_if_null(F.col("published")), 1, 7)
+    named = lambda df: df.withColumns({"title": F.concat_ws(" ", month, "title"), "id": F.concat_ws(" ", month, F.col("id").cast("string"))})
+    new = new_records(named(existing), named(incoming)).groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("new_count"))
+    counts = backfill_months(existing, incoming).groupBy("month").agg(F.count(F.lit(1)).alias("count"), F.count_if(empty_if_null(F.col("abstract")) != "").alias("abstract_count"))
     state = results.groupBy("month").agg(F.bool_and("ok").alias("complete"), F.count(F.lit(1)).alias("sources"))
-    return state.join(counts, "month", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    out = state.join(counts, "month", "left").join(new, "month", "left")
+    return out.select("month", "complete", "sources", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("count", "new_count", "abstract_count")])

@@ -107,6 +107,11 @@ def home_notices(notices: DataFrame, as_of: Column, k: int = 30) -> DataFrame:
     return notices.orderBy(open_first, F.desc("published"), F.asc("id")).limit(k)
 
 
+def home_news(news: DataFrame, k: int = 30) -> DataFrame:
+    """The newest first."""
+    return news.orderBy(F.desc(empty_if_null(F.col("published"))), F.asc("id")).limit(k)
+
+
 def pending_months(status: DataFrame, start: str, as_of: str, n: int) -> DataFrame:
     """Closed months from ``start`` before ``as_of``'s month that ``status(month, complete)`` hasn't as complete, the first ``n``."""
     spark = status.sparkSession

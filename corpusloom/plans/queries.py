@@ -516,13 +516,6 @@ def j7_favorite_items(spark, d):
     return joins.favorite_items(s, papers_o(spark, d, arrays=False).where("id % 3 <> 0"), snaps).select("user", "id", "title", "known")
 
 
-@query(f"with {PAPERS_D} select id, substr(published, 1, 7) as month from papers_d where contains(lower(abstract), 'license')")
-def j8_load_matches(spark, d):
-    p = papers_d(spark, d).withColumn("month", F.substring("published", 1, 7))
-    hits = filters.search(p, "license", C("abstract")).select("month", "id")
-    return joins.load_matches(hits, p).select("id", "month")
-
-
 @query(f"""
 with {PAPERS_O}, f as (select id, 'c' k, category v, 5 w from cats union all select id, 't', lower(tag), 3 from tags union all select id, 'a', lower(author), 4 from papers_o where author <> '' union all select id, 's', source, 1 from papers_o),
 s as (select a.id anchor, b.id, sum(b.w) score from f a join f b using (k, v) where a.id % 50 = 0 and a.id <> b.id group by 1, 2)
@@ -806,16 +799,34 @@ def w12_pending_months(spark, d):
     return ranking.pending_months(status, "1994-06", AS_OF, 12)
 
 
-@query(f"""
-with {PAPERS_O}, r as (select *, id % 9000 rid from papers_o), u as (select * from r qualify row_number() over (partition by rid order by id % 2 desc, seq desc) = 1),
-c as (select substr(published, 1, 7) as month, count(*) n from u group by 1), s as (select substr(published, 1, 7) as month, source, bool_and(id % 97 <> 0) ok from papers_o group by 1, 2)
-select s.month, bool_and(ok) complete, count(*) sources, coalesce(any_value(c.n), 0) as count from s left join c on c.month = s.month group by s.month
+_MONTHS = f"""
+with {PAPERS_O}, r as (select *, substr(published, 1, 7) mo, id % 40 rid, {TITLE_KEY.format("title")} k, id % 2 nw from papers_o),
+ex as (select * from r where nw = 0 qualify row_number() over (partition by mo, rid order by seq desc) = 1), inc as (select * from r where nw = 1),
+idx as (select mo, k, coalesce(max(case when nw = 0 then o end), max(case when nw = 1 then n end)) target from (
+  select mo, k, nw, arg_max(rid, seq) over (partition by mo, k, nw) o, arg_min(rid, seq) over (partition by mo, k, nw) n from r) group by mo, k),
+rows_ as (select mo, rid target, 0 nw, seq, title, source, published, abstract, source_type from ex union all select inc.mo, idx.target, 1, seq, title, source, published, abstract, source_type from inc join idx on idx.mo = inc.mo and idx.k = inc.k),
+jn as (select mo, target, min(nw * 10000000 + seq) js from rows_ where source_type = 'journal' group by 1, 2),
+al as (select rows_.*, nw * 10000000 + seq ord, js from rows_ left join jn on jn.mo = rows_.mo and jn.target = rows_.target),
+me as (select mo as month, target id, bool_or(abstract <> '') abs_, coalesce(arg_max(title, ord) filter (source_type = 'journal'), arg_max(title, ord) filter (js is null or ord < js)) title,
+  coalesce(arg_max(source, ord) filter (source_type = 'journal'), arg_max(source, ord) filter (js is null or ord < js)) source, coalesce(arg_max(published, ord) filter (source_type = 'journal'), arg_max(published, ord) filter (js is null or ord < js)) published from al group by 1, 2)"""
+
+
+@query(f"""{_MONTHS}, fi as (select * from inc qualify row_number() over (partition by mo, rid order by seq) = 1),
+nn as (select mo, count(*) n from fi where not exists (select 1 from r e where e.nw = 0 and e.mo = fi.mo and (e.rid = fi.rid or e.k = fi.k)) group by 1),
+s as (select substr(published, 1, 7) as month, source, bool_and(id % 97 <> 0) ok from papers_o group by 1, 2), c as (select month, count(*) n, count(*) filter (abs_) a from me group by 1)
+select s.month, bool_and(ok) complete, count(*) sources, coalesce(any_value(c.n), 0) as count, coalesce(any_value(nn.n), 0) new_count, coalesce(any_value(c.a), 0) abstract_count from s left join c on c.month = s.month left join nn on nn.mo = s.month group by s.month
 """)
 def w13_backfill_month(spark, d):
     p = papers_o(spark, d, arrays=False)
-    r = p.withColumn("id", C("id") % 9000)
+    r = p.withColumn("id", C("id") % 40)
     results = p.groupBy(F.substring("published", 1, 7).alias("month"), "source").agg(F.bool_and(C("seq") % 97 != 0).alias("ok"))
-    return merge.backfill_month(r.where("seq % 2 = 0"), r.where("seq % 2 = 1"), results)
+    return merge.backfill_status(r.where("seq % 2 = 0"), r.where("seq % 2 = 1"), results)
+
+
+@query(f"{_MONTHS} select month, id, title, published, row_number() over (partition by month order by published desc, source desc, title desc, id desc) place from me")
+def w13_backfilled_records(spark, d):
+    r = papers_o(spark, d, arrays=False).withColumn("id", C("id") % 40)
+    return merge.backfill_months(r.where("seq % 2 = 0"), r.where("seq % 2 = 1")).select("month", "id", "title", "published", "place")
 
 
 @query(f"with {PAPERS_O} select id from papers_o order by published desc, id limit 20 offset 60")
@@ -866,17 +877,6 @@ def t4_daily_counts(spark, d):
     return user_state.daily_counts(read(spark, d, "events"))
 
 
-@query(f"""
-with {OPS_E}, s as (select user_, cast(max(ts) filter (seq % 2 = 0) as varchar) ra, cast(max(ts) filter (seq % 2 = 1) as varchar) la, count(*) filter (seq % 2 = 0) r, count(*) filter (seq % 2 = 1) l from ops_e group by 1)
-select user_ as user, case when user_ % 5 = 0 and l > 0 then 'merged' when l > 0 and (r = 0 or date_trunc('second', cast(la as timestamp)) > date_trunc('second', cast(ra as timestamp))) then 'local' when r = 0 then 'local' else 'remote' end as from_ from s
-""")
-def t5_reconcile_state(spark, d):
-    o = ops_e(spark, d)
-    none = F.create_map().cast("map<string,string>")
-    snap = lambda r: o.where(C("seq") % 2 == r).groupBy("user").agg(F.max("ts").cast("string").alias("updated_at"), F.first(C("user") % 5 == 0).alias("legacy")).withColumns({"favorites": none, "notes": none, "keywords": F.array().cast("array<string>")})
-    return user_state.reconcile_state(snap(0), snap(1)).select("user", C("from").alias("from_"))
-
-
 @query(f"with {RUNS_E} select name, kind, ok, count_ as count from runs_e qualify row_number() over (partition by name order by run_at desc, seq desc) = 1")
 def t6_latest_source_status(spark, d):
     return user_state.latest_source_status(runs_e(spark, d)).select("name", "kind", "ok", "count")

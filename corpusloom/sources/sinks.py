@@ -16,9 +16,11 @@ def with_month(papers: DataFrame) -> DataFrame:
 
 
 def write_month_shards(papers: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Parquet by year and month, each month sorted; months that the frame doesn't have stay as they are."""
+    """Parquet by year and month, each month sorted; months that the frame doesn't have stay as they are. Tasks get ranges
+    of the whole order, so a month with many rows is shared by several, in files that follow each other."""
     p = with_month(papers)
-    files = p.repartition("year", "month").sortWithinPartitions("year", "month", *newest_first())
+    order = [F.asc("year"), F.asc("month"), *newest_first()]
+    files = p.repartitionByRange(*order).sortWithinPartitions(*order)
     files.write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("year", "month").mode("overwrite").parquet(path)
 
 
@@ -32,8 +34,8 @@ def search_index(papers: DataFrame) -> DataFrame:
 
 
 def build_search_index(papers: DataFrame, path: str) -> None:
-    """Written by year, so that a search of some years reads only these."""
-    search_index(papers).repartition("year").write.option("partitionOverwriteMode", "dynamic").partitionBy("year").mode("overwrite").parquet(path)
+    """Written by year, so that a search of some years reads only these; a year is shared by the tasks of its range of days."""
+    search_index(papers).repartitionByRange("year", "published", "id").write.option("partitionOverwriteMode", "dynamic").partitionBy("year").mode("overwrite").parquet(path)
 
 
 def ris_entries(papers: DataFrame) -> DataFrame:

@@ -5,12 +5,10 @@ The watermark of the daily counts is this library's own: rows later than it are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import ci_unique, empty_if_null
 from ..operators.merge import new_records
@@ -44,27 +42,11 @@ def _there():
     )
 
 
-_STATE = "ts timestamp, seq long, active boolean, text string, keywords array<string>"
-_OUT = "user long, type string, item_id string, active boolean, text string, keywords array<string>, seq long"
-
-
-def _fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    for f in frames:
-        f = f.sort_values(["ts", "seq"])
-        r = f.iloc[-1]
-        new = (r["ts"], int(r["seq"]), bool(r["active"]), r["text"], list(r["keywords"]))
-        if best is None or (new[0], new[1]) > (best[0], best[1]):
-            best = new
-    state.update(best)
-    yield pd.DataFrame({"user": [key[0]], "type": [key[1]], "item_id": [key[2]], "active": [best[2]], "text": [best[3]], "keywords": [list(best[4])], "seq": [best[1]]})
-
-
 def fold_user_ops_stream(ops: DataFrame) -> DataFrame:
-    """T1 as a stream in update mode: state is one small row per user, type and item. The sink keeps the last row of each, and
-    ``settled`` drops what was switched off."""
-    g = clean_ops(ops).groupBy("user", "type", "item_id")
-    return g.applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """T1 as a stream in update mode: an aggregate of one small row per user, type and item, kept by Spark's state store. It has no end:
+    a switch that was set years ago still counts. The sink keeps the last row of each, and ``settled`` drops what was switched off."""
+    last = clean_ops(ops).groupBy("user", "type", "item_id").agg(F.max_by(F.struct("active", "text", "keywords", "seq"), F.struct("ts", "seq")).alias("p"))
+    return last.select("user", "type", "item_id", "p.*")
 
 
 def settled(updates: DataFrame) -> DataFrame:
