@@ -125,6 +125,7 @@ def relevant(title: Column, abstract: Column, mode: Column, topics: Topics) -> C
 def notice_relevant(title: Column, summary: Column, scope: Column, category: Column, rejected, wanted, trusted, societies) -> Column:
     """A rejected title goes; trusted categories stay with a wanted title, and else unless the details are rejected;
     other notices need clean details and a wanted title."""
+    rejected, wanted, societies = ([w.lower() for w in terms] for terms in (rejected, wanted, societies))
     t = nfkc_lower(empty_if_null(title))
     detail = nfkc_lower(F.concat_ws(" ", empty_if_null(title), empty_if_null(summary), empty_if_null(scope)))
     return (
@@ -264,4 +265,4 @@ def reclassify(records: DataFrame, topics: Topics, sources: DataFrame | None = N
 def notice_labels(text: Column, rules) -> Column:
     """K7: the labels one of whose markers occurs, in the rules' order; ``rules``: (label, markers)."""
     t = nfkc_lower(empty_if_null(text))
-    return F.array_distinct(F.array_compact(F.array(*[F.when(any_of(t, markers), F.lit(label)) for label, markers in rules])))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(any_of(t, [m.lower() for m in markers]), F.lit(label)) for label, markers in rules])))

@@ -79,29 +79,38 @@ def date_bounds(papers: DataFrame) -> DataFrame:
     return papers.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
+def _counted(papers: DataFrame, marks: Column, zero: list[tuple[str, str]]) -> DataFrame:
+    """``kind, name, n``: how many rows bear each of their marks, in one scan; ``zero`` marks are there even if none does."""
+    each = papers.select(F.explode(marks).alias("m")).select("m.kind", "m.name", F.lit(1).cast("long").alias("n"))
+    none = papers.sparkSession.createDataFrame([(k, n, 0) for k, n in zero], "kind string, name string, n long")
+    return each.unionByName(none).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+
+
+def _mark(kind: str, name, on=None) -> Column:
+    s = F.struct(F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"))
+    return s if on is None else F.when(on, s)
+
+
+def _categories(kind: str = "category") -> Column:
+    return F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("name")))
+
+
 def insights(papers: DataFrame, days: int = 30) -> DataFrame:
     """A4: long form ``kind, name, n``: totals, per source, per category, and per day of the latest ``days`` days that occur."""
-    day = F.substring("published", 1, 10)
-    latest = latest_day(papers)
-    total = papers.groupBy().agg(
-        F.count(F.lit(1)).alias("papers"),
-        F.sum((empty_if_null(F.col("source_type")) == "journal").cast("long")).alias("journal"),
-        F.sum((empty_if_null(F.col("source_type")) == "preprint").cast("long")).alias("preprint"),
-    )
-    totals = total.select(F.explode(F.create_map(*[x for c in total.columns for x in (F.lit(c), F.col(c))])).alias("name", "n")).select(F.lit("total").alias("kind"), "name", "n")
-    at = papers.crossJoin(F.broadcast(latest)).where(day == F.col("latest_day")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("latest_day").alias("name"), "n")
-    sources = papers.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("source").alias("kind"), "name", "n")
-    cats = papers.select(F.explode("categories").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.lit("category").alias("kind"), "name", "n")
-    daily = papers.where(day != "").groupBy(day.alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("name")).limit(days).select(F.lit("day").alias("kind"), "name", "n")
-    return totals.unionByName(at).unionByName(sources).unionByName(cats).unionByName(daily)
+    day, kind = F.substring("published", 1, 10), empty_if_null(F.col("source_type"))
+    p = papers.crossJoin(F.broadcast(latest_day(papers)))
+    marks = F.array(
+        _mark("total", "papers"), _mark("total", "journal", kind == "journal"), _mark("total", "preprint", kind == "preprint"),
+        _mark("total", "latest_day", day == F.col("latest_day")), _mark("source", F.col("source")), _mark("day", day, day != ""),
+    )
+    n = _counted(p, F.concat(F.array_compact(marks), _categories()), [("total", c) for c in ("papers", "journal", "preprint", "latest_day")])
+    ranked = n.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("name"))))  # of counts, not of papers
+    return ranked.where((F.col("kind") != "day") | (F.col("_n") <= days)).drop("_n")
 
 
 def facet_counts(papers: DataFrame) -> DataFrame:
     """A5: categories and sources of the selection with counts, and ``all``."""
-    cats = papers.select(F.explode("categories").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.lit("category").alias("kind"), "name", "n")
-    every = papers.agg(F.count(F.lit(1)).alias("n")).select(F.lit("category").alias("kind"), F.lit("all").alias("name"), "n")
-    sources = papers.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("source").alias("kind"), "name", "n")
-    return cats.unionByName(every).unionByName(sources)
+    return _counted(papers, F.concat(F.array(_mark("category", "all"), _mark("source", F.col("source"))), _categories()), [("category", "all")])
 
 
 def group_counts(records: DataFrame, group: str, groups: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classify, merge, stats
+from corpusloom.operators import classify, joins, merge, stats
 from corpusloom.plans import queries as plans
 from corpusloom.plans.adapters import AS_OF, ops_e, papers_o
 from corpusloom.plans.dictionary import TOPICS
@@ -102,6 +102,116 @@ def test_terms_need_boundaries(spark):
     assert not hit("a significant step", "NIF") and hit("at NIF", "NIF") and hit("B(E2) values", "b(e2)") and hit("beta \n decay", "beta decay") and not hit("beta-decay", "beta decay")
 
 
+PHYSICS = classify.Topics(
+    topics=(
+        classify.Topic("fusion", "Fusion", ("tokamak", "stellarator", "ITER", "nuclear fusion"), 20),
+        classify.Topic("decay", "Decay", ("half-life", "branching ratio", "branching fraction", "beta-delayed", "decay spectroscopy"), 25),
+        classify.Topic("structure", "Structure", ("level scheme", "quadrupole moment", "gamma spectroscopy", "shell"), 30),
+        classify.Topic("ai", "AI", ("machine learning", "artificial-intelligence", "machine"), 5),
+        classify.Topic("detectors", "Detectors", ("silicon detector", "data acquisition"), 15),
+        classify.Topic("experiment", "Experiment", ("measured at",), 28),
+        classify.Topic("general", "General", ("nucleus",), 1),
+    ),
+    priority_terms=("first observation", "upper limit"),
+    strong_gate=("neutron-rich",),
+    physics_gate=("physics", "quantum"),
+    ai_gate=("plasma", "detector"),
+    ai_methods=("machine learning", "deep learning"),
+    gates={
+        "decay": classify.Gate(strong=("beta-delayed",), context=("isotope", "nuclei", "spectroscopy"), core_sources=("physical review c",), excluded=("meson", "lepton")),
+        "structure": classify.Gate(strong=("level scheme",), context=("isotope", "nuclei"), excluded=("galaxy", "dark matter")),
+    },
+    general="general",
+    source_fallbacks=((("physical review c",), "general"),),
+)
+
+
+def test_classification_of_physics_records(spark):
+    rows = [
+        ("ai", "Machine learning in a silicon detector", "An artificial-intelligence workflow for data acquisition.", "x", None),
+        ("fusion", "Neutron diagnostics for ITER plasmas", "Nuclear\n fusion performance", "x", None),
+        ("decay", "Beta-delayed neutron emission", "The half-life is given.", "x", None),
+        ("prior", "A generic study of a nucleus", "", "Physical Review C", ["general"]),
+        ("default", "Level scheme of an isotope", "Gamma spectroscopy reveals shell evolution.", "arXiv nucl-ex", ["experiment"]),
+        ("meson", "Lepton-flavor violating meson decays", "An upper limit on the branching fraction is measured at LHCb.", "Physical Review Letters", None),
+        ("galaxy", "Galaxy clustering quadrupole moment", "Isotope-free dark matter", "Monthly Notices", None),
+        ("none", "Traffic", "", "Physical Review C", None),
+        ("shell", "eggshells and machines", None, None, None),
+    ]
+    r = spark.createDataFrame(rows, "id string, title string, abstract string, source string, default_categories array<string>").withColumn("weight", F.lit(5))
+    got = {x["id"]: x for x in classify.reclassify(r, PHYSICS).collect()}
+    cats = {k: x["categories"] for k, x in got.items()}
+    assert set(cats["ai"]) == {"ai", "detectors"} and got["ai"]["tags"] == ["machine learning", "artificial-intelligence", "machine", "silicon detector", "data acquisition"]
+    assert cats["fusion"] == ["fusion"] and got["fusion"]["tags"] == ["ITER", "nuclear fusion"] and cats["decay"] == ["decay"]
+    assert cats["prior"] == ["general"] and "experiment" not in cats["prior"] and got["prior"]["classification_confidence"] == 0.56
+    assert cats["default"] == ["structure", "experiment"] and got["default"]["methods"] == ["experimental"]
+    assert cats["meson"] == ["experiment"] and cats["galaxy"] == ["frontiers"] and cats["none"] == ["general"] and cats["shell"] == ["frontiers"]
+    assert got["meson"]["importance"] == 40 + 28 + 8 + 2 and any(x.startswith("突破性表述") for x in got["meson"]["score_reasons"])
+
+
+def test_terms_by_one_pattern_equal_terms_one_by_one(spark):
+    rnd = random.Random(8)
+    parts = ["a", "ab", "abc", "b c", "b", "bc", "a-b", "a b c", "c", "(x", "é", "x y", "x"]
+    terms = sorted({rnd.choice(["", "a ", "b-"]) + p for p in parts for _ in range(2)})
+    texts = ["".join(rnd.choice([*parts, " ", "  ", "-", ".", "\n"]) for _ in range(rnd.randint(0, 14))) for _ in range(300)]
+    low = F.lower("t")
+    one = F.array_compact(F.array(*[F.when(classify.term_hit(low, t), F.lit(t)) for t in terms]))
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", one.alias("a"), classify.term_hits(low, terms).alias("b")).collect():
+        assert r["a"] == r["b"], r["t"]
+
+
+def test_relevance_by_mode(spark):
+    rows = [("Urban traffic", "Road networks", "filtered", False), ("Neutron-rich nuclei", "", "filtered", True), ("First observation of cancer", "in cells", "filtered", False), ("First observation", "A quantum phase", "filtered", True), ("Deep learning for advertising", "", "important-ai", False), ("Machine learning for plasma", "", "important-ai", True), ("Anything", None, "all", True)]
+    got = spark.createDataFrame(rows, "t string, a string, m string, want boolean").select("t", "want", classify.relevant(F.col("t"), F.col("a"), F.col("m"), PHYSICS).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_notice_relevance_and_labels(spark):
+    rows = [("理论物理专款项目指南", "", "", True), ("癌症防治项目的通知", "", "", False), ("Call for proposals", "", "beam", True), ("Call for proposals", "nuclear medicine", "beam", False), ("Medicine days", "", "beam", False), ("Physics medicine", "", "beam", False), ("物理 call", "nuclear medicine", "beam", True), ("项目指南", "", "", False)]
+    c = classify.notice_relevant(F.col("t"), F.col("s"), F.lit(""), F.col("c"), ("癌症", "medicine"), ("物理",), ("beam",), ("society",))
+    assert all(r["want"] == r["got"] for r in spark.createDataFrame(rows, "t string, s string, c string, want boolean").select("*", c.alias("got")).collect())
+    rules = (("Society", ("核学会", "nuclear society")), ("Series", ("NED20",)))
+    said = spark.createDataFrame([("第二十三届年会（NED2026）中国核学会主办",), ("School for young scientists",)], "t string").select(classify.notice_labels(F.col("t"), rules).alias("l")).collect()
+    assert [r["l"] for r in said] == [["Society", "Series"], []]
+
+
+def test_many_terms_equal_few(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
+    hay = spark.createDataFrame([(i, " ".join(word() for _ in range(8))) for i in range(50)], "id long, hay string")
+    terms = spark.createDataFrame([(w,) for w in {word() for _ in range(60)}], "word string")
+    few, many = (sorted(map(tuple, joins.contained_terms(hay, terms, few=n, block=25).collect())) for n in (100, 10))
+    assert few and few == many
+
+
+def test_related_items_in_blocks(spark, monkeypatch):
+    rnd = random.Random(6)
+    pick = lambda n, k: rnd.sample([f"v{i}" for i in range(n)], rnd.randint(0, k))
+    rows = [(i, rnd.choice(["2020-01-01", "2020-01-02", None]), rnd.choice(["s", "t", None]), pick(5, 3), [x.upper() for x in pick(9, 3)], [*pick(40, 4), None]) for i in range(120)]
+    r = spark.createDataFrame(rows, "id long, published string, source string, categories array<string>, tags array<string>, authors array<string>")
+    want = set()
+    for a in rows[:30]:
+        scored = []
+        for b in rows:
+            n = sum(w * len(set(x) & set(y) - {None}) for w, x, y in zip((5, 3, 4, 1), (a[3], a[4], a[5], [a[2]]), (b[3], b[4], b[5], [b[2]])))
+            if n and b[0] != a[0]:
+                scored.append((n, b[1] or "", b[0]))
+        scored.sort(key=lambda s: s[2])
+        scored.sort(key=lambda s: s[:2], reverse=True)
+        want |= {(a[0], k + 1, s[2], s[0]) for k, s in enumerate(scored[:6])}
+    monkeypatch.setattr(joins, "ROWS", 16)
+    monkeypatch.setattr(joins, "COMMON", 4)
+    for anchors in (8192, 7):
+        monkeypatch.setattr(joins, "ANCHORS", anchors)
+        assert {tuple(x) for x in joins.related_items(r.where("id < 30"), r).collect()} == want
+
+
+def test_best_window_after_a_title(spark):
+    text = "Menu Call one | skip Call ONE Search the site downloads. call one The deadline to be submitted is near. Call one later deadline"
+    got = spark.createDataFrame([("Call one", text), ("", text), (None, text), ("absent", text), ("a\\E(b", "x a\\E(b y")], "t string, v string").select(html_pages.best_window(F.col("t"), F.col("v"), 60).alias("w")).collect()
+    assert [r["w"] for r in got][:4] == [" The deadline to be submitted is near. Call one later deadline"[:60].strip(), "", "", ""]
+
+
 def test_feeds(spark):
     rss = "<rss><channel><item><title>A\x02 b</title><description>&lt;p&gt;x <i>y</i>&lt;/p&gt;</description><link>https://e.org/1</link><pubDate>Mon, 01 Jun 2026 10:00:00 GMT</pubDate></item><item><title>no link</title></item></channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>C</title><link rel="self" href="https://e.org/s"/><link href="https://arxiv.org/abs/2401.1"/><summary>der text</summary><author><name>X, Y and Z</name></author></entry></feed>'
