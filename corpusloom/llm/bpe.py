@@ -65,26 +65,32 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self._fast, self.added = None, []
+        self._fast, self._loaded, self.added = None, None, []
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._library = lambda text: model.encode(text, num_threads=1)
         else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            self._library = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            self._library = lambda text: self._tokenizer(path).encode_batch_fast([text], add_special_tokens=False)[0].ids
+            with open(path, encoding="utf-8") as f:
+                self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
             ranks = merge_ranks(path)
             if ranks is not None:
                 import tiktoken
 
                 self._fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _tokenizer(self, path: str):
+        """The library, loaded for the first text that needs it."""
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+
+            self._loaded = Tokenizer.from_file(path)
+            self._loaded.no_truncation()
+            self._loaded.no_padding()
+        return self._loaded
+
     def library(self, text: str) -> bytes:
         return array("I", self._library(text)).tobytes() if text else b""
 

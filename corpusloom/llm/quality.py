@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingling import slices
+
 #: Labelled documents to fit on, at most.
 SAMPLE_DOCS = 2000
 STEPS = 80
@@ -177,17 +179,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["label", "features"])
 
 
-def _scorer(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for at in range(0, b.num_rows, SLICE):  # bounded memory, whatever the batch size
-                out.append(scores(b.column(1).slice(at, SLICE).to_pylist(), model))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.empty(0)), *b.columns[2:]], [b.schema.field(0).name, "score", *[f.name for f in b.schema][2:]])
-
-    return run
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
@@ -216,13 +207,20 @@ def quality(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id
     get equal scores, null ids are kept. Further columns are ignored but for those named in ``keep``, which are
     passed through.
     """
-    fields = F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    rows = docs.select(fields.alias("kept"), F.col(text_col).alias("text"))
-    kind = rows.schema["kept"].dataType.simpleString()
-    out = rows.mapInArrow(_scorer(model), f"kept {kind}, score double")
-    return out.select(
-        F.col("kept.id").alias(id_col),
-        held_out(F.col("kept.id")).alias("held_out"),
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [np.empty(0)]
+        for at in range(0, len(texts), SLICE):  # bounded memory, whatever the batch and the texts
+            part = texts.slice(at, SLICE).to_pylist()
+            out += [scores(part[x:y], model) for x, y in slices([t or "" for t in part])]
+        return pa.array(np.concatenate(out))
+
+    # Only texts go to Python, and only scores come back.
+    rows = docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("score"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"))
+    return rows.select(
+        F.col("id").alias(id_col),
+        held_out(F.col("id")).alias("held_out"),
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
         *[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)],
