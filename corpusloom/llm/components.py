@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 ROUNDS = 60
 
@@ -56,10 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``edges(u, v)`` (longs), ``label`` the least node that can be reached.
 
     Alternating large-star and small-star steps; a hot node costs a join key, which adaptive execution splits,
-    and no step has more rows than the edges. Each round is written to the shared folder.
+    and no step has more rows than the edges. Each round is written to the shared folder, and the one before it
+    deleted; what is returned is a stored table.
     """
+    spark, made, old = edges.sparkSession, [], []
     first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    now = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges", made)
     before = None
     for _ in range(ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -68,7 +70,9 @@ def components(edges: DataFrame) -> DataFrame:
         # now u > v everywhere: each node's smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        made, old = [], made
+        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", made)
+        discard(spark, old)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         if tuple(state) == before:
             break
@@ -76,4 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("the components didn't settle")
     stars = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return stars.union(stars.select("label", "label").distinct())
+    labels = stored(stars.union(stars.select("label", "label").distinct()), "labels")
+    discard(spark, made)
+    return labels

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_side, stored, table_bytes
+from .common import ascii_lower, discard, small_side, stored, table_bytes
 
 #: Words are what these ASCII separators leave.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,31 +51,31 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
     return w.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.array_join("words", " ").alias("window"), "words", size, F.size("words").alias("len"), "items")
 
 
-def _seen(docs: DataFrame, size: int, tokens: DataFrame, doc_id: str, keep: tuple[str, ...]) -> DataFrame:
-    """The scan: ``first`` rows, one for each document, and a row for each place of an item's shingle, with its words."""
+def _seen(docs: DataFrame, size: int, tokens: DataFrame, doc_id: str, keep: tuple[str, ...], firsts: bool) -> DataFrame:
+    """The scan: ``first`` rows, one for each document, if asked for, and a row for each place of an item's shingle, with its words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"), words_of(F.col("text")).alias("words"))
     vocabulary = F.broadcast(tokens.select("token").distinct().withColumn("own", F.lit(True)))  # of at most BLOCK_BYTES
     every = shingles(words.withColumn("n_words", F.size("words")), size).join(vocabulary, "token", "left")
     first = F.coalesce(F.col("pos") == 0, F.lit(True))
     said = F.when(F.col("own") & F.col("pos").isNotNull(), F.concat_ws(" ", *[f"s{i}" for i in range(size)]))
-    return every.where(first | F.col("own")).select("d", "h", "n_words", first.alias("first"), F.when(first, F.col("kept")).alias("kept"), "pos", said.alias("said"))
+    return every.where(first | F.col("own") if firsts else F.col("own")).select("d", "h", "n_words", first.alias("first"), F.when(first, F.col("kept")).alias("kept"), "pos", said.alias("said"))
 
 
-def _occurrences(seen: DataFrame, tokens: DataFrame) -> DataFrame:
+def _occurrences(seen: DataFrame, tokens: DataFrame, made: list[str]) -> DataFrame:
     """``(d, h, start, window, len)``: the places where the windows of ``tokens`` occur in the documents of ``seen``."""
     places = seen.where("said is not null").select("d", "h", "n_words", "pos", "said")
-    rarity = stored(places.groupBy("said").agg(F.count(F.lit(1)).alias("n")), "rarity")
+    rarity = stored(places.groupBy("said").agg(F.count(F.lit(1)).alias("n")), "rarity", made)
     # A shingle that no document has is the rarest of all: its window can't occur.
     ranked = tokens.join(F.broadcast(rarity), "said", "left").groupBy("window", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "said", "pos")).alias("p"))
-    prefix = stored(ranked.where("p.n > 0").select(F.col("p.said").alias("said"), F.col("p.pos").alias("at"), "window", "len"), "item-prefixes")
+    prefix = stored(ranked.where("p.n > 0").select(F.col("p.said").alias("said"), F.col("p.pos").alias("at"), "window", "len"), "item-prefixes", made)
     start = F.col("pos") - F.col("at")
     near = places.join(F.broadcast(prefix), "said").where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
-    near = stored(near.select("d", "h", start.alias("start"), "window", "len").distinct(), "window-candidates")
+    near = stored(near.select("d", "h", start.alias("start"), "window", "len").distinct(), "window-candidates", made)
     wanted = near.join(F.broadcast(tokens.select("window", F.col("pos").alias("i"), "said", "n_tokens")), "window")
     wanted = wanted.select("d", "h", "start", "window", "len", "n_tokens", (F.col("start") + F.col("i")).alias("pos"), "said")
     own = near.select(F.col("d").alias("e"), F.col("h").alias("g")).distinct()
-    there = places.join(small_side(stored(own, "candidate-documents")), F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left_semi")
+    there = places.join(small_side(stored(own, "candidate-documents", made)), F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left_semi")
     there = there.select(F.col("d").alias("e"), F.col("h").alias("g"), F.col("pos").alias("place"), F.col("said").alias("words")).distinct()
     same = F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")) & (F.col("pos") == F.col("place")) & (F.col("said") == F.col("words"))
     found = wanted.join(there, same).groupBy("d", "h", "start", "window", "len", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
@@ -101,19 +101,20 @@ def decontaminate(
     a null item id counts for hits, not among the items. Further columns are ignored but for those named in
     ``keep``, which are passed through; ``hash_col`` names a column to add, ``xxhash64`` of the text (null: empty).
     """
-    windows = stored(item_windows(items, item_id, "text", window), "item-windows")
+    made: list[str] = []
+    windows = stored(item_windows(items, item_id, "text", window), "item-windows", made)
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy(F.desc("size")).collect()]  # at most SHINGLE values
     base, hits = None, []
     for size in sizes or [SHINGLE]:
         own = shingles(windows.where(F.col("size") == size).select("window", "len", (F.col("len") - size + 1).alias("n_tokens"), "words"), size)
-        tokens = stored(own.select("window", "len", "n_tokens", "pos", "token", F.concat_ws(" ", *[f"s{i}" for i in range(size)]).alias("said")), "item-shingles")
+        tokens = stored(own.select("window", "len", "n_tokens", "pos", "token", F.concat_ws(" ", *[f"s{i}" for i in range(size)]).alias("said")), "item-shingles", made)
         blocks = max(1, -(-table_bytes(tokens) // block_bytes))
         for b in range(blocks):
             part = tokens.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-            seen = stored(_seen(docs, size, part, doc_id, keep if base is None else ()), "seen-shingles")
+            seen = stored(_seen(docs, size, part, doc_id, keep if base is None else (), base is None), "seen-shingles", None if base is None else made)
             base = seen.where("first") if base is None else base
             if sizes:
-                hits.append(stored(_occurrences(seen, part), "occurrences"))
+                hits.append(stored(_occurrences(seen, part, made), "occurrences", made))
     rows = base.select("d", "h", "kept", F.col("n_words").cast("long").alias("n_words"))
     empty = F.array().cast("array<string>")
     if hits:
@@ -130,6 +131,7 @@ def decontaminate(
             lambda a: a["n"],
         )
         found = stored(found.select(F.col("d").alias("e"), F.col("h").alias("g"), covered.alias("n_hit"), "items"), "contaminated-documents")
+        discard(docs.sparkSession, made)
         rows = rows.join(small_side(found), F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left")
     else:
         rows = rows.withColumns({"n_hit": F.lit(0).cast("long"), "items": empty})

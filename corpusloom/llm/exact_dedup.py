@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, stored
+from .common import ascii_lower, discard, join_groups, stored
 
 BITS_PER_ROW = 8
 BUCKET_BITS = 32_768
@@ -44,11 +44,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     over another id. An empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    hashed = stored(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("sha")), "text-hashes")
+    made: list[str] = []
+    hashed = stored(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("sha")), "text-hashes", made)
     buckets = max(1, -(-hashed.count() * BITS_PER_ROW // BUCKET_BITS))
     choice = F.shiftleft(F.pmod(F.xxhash64("sha"), F.lit(buckets)), 30).bitwiseOR(F.xxhash64("sha", F.lit(1)).bitwiseAND((1 << 30) - 1))
     rows = hashed.select("id", "sha", choice.alias("choice"))
-    bits = stored(repeated_bits(rows), "repeated-bits")
+    bits = stored(repeated_bits(rows), "repeated-bits", made)
 
     turns = max(1, -(-bits.count() * (BUCKET_BITS // 8) // filter_bytes))
     maybe = F.coalesce(_is_set(F.col("bits"), F.expr("shiftright(choice, 15) & 32767")) & _is_set(F.col("bits"), F.expr("choice & 32767")), F.lit(False))
@@ -58,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mine = rows.withColumn("bucket", F.shiftright("choice", 30)).where(own).join(F.broadcast(bits.where(own)), "bucket", "left")
         tested.append(stored(mine.select("id", "sha", maybe.alias("maybe")), "bloom-tested"))
     tested = reduce(DataFrame.union, tested)
+    discard(docs.sparkSession, made)
 
     again = tested.where("maybe").select("id", "sha")
     groups = stored(again.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "equal-texts")
