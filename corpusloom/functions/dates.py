@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, empty_if_null, first_filled
+from .text import clean_text, empty_if_null, first_filled, let
 
 #: Month names and date forms of notices.
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -18,7 +18,7 @@ _MDY = rf"(?:{_MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+20\d{{2}}"
 def _ymd(y: Column, m: Column, d: Column) -> Column:
     """ISO text of year, month and day as texts, empty if there is no such day."""
     iso = F.concat(F.lpad(y, 4, "0"), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-    return F.when((y != "") & F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), iso).otherwise(F.lit(""))
+    return let(F.when(y != "", iso), lambda s: F.when(F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s).otherwise(F.lit("")))
 
 
 def _month_number(name: Column) -> Column:
@@ -34,7 +34,10 @@ def date_parts(parts: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """mail dates, then ``yyyy-m-d`` anywhere (as written, valid or not), then an ISO prefix."""
-    t = F.trim(empty_if_null(c))
+    return let(F.trim(empty_if_null(c)), _iso_date)
+
+
+def _iso_date(t: Column) -> Column:
     mail = r"(?i)^(?:[a-z]{3},\s*)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+\d{1,2}:\d{2}"
     by_mail = _ymd(F.regexp_extract(t, mail, 3), _month_number(F.regexp_extract(t, mail, 2)), F.regexp_extract(t, mail, 1))
     number = r"(20\d{2}|19\d{2})[-/.](\d{1,2})[-/.](\d{1,2})"
@@ -45,16 +48,19 @@ def iso_date(c: Column) -> Column:
 
 def notice_date(c: Column) -> Column:
     """the last date of the text, empty if it isn't a day of the calendar; without any, as ``iso_date``."""
-    t = empty_if_null(c)
+    return let(empty_if_null(c), _notice_date)
+
+
+def _notice_date(t: Column) -> Column:
     pattern = r"(?<!\d)(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
     last = lambda i: F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), i), F.lit(-1))
-    return F.when(last(1).isNotNull(), _ymd(last(1), last(2), last(3))).otherwise(iso_date(t))
+    return F.when(last(1).isNotNull(), _ymd(last(1), last(2), last(3))).otherwise(_iso_date(F.trim(t)))
 
 
 def english_date(c: Column) -> Column:
     """the first ``1 June 2026`` or ``June 1, 2026``."""
     t = F.regexp_replace(F.regexp_extract(empty_if_null(c), rf"(?i)\b(\d{{1,2}}\s+(?:{_MONTHS})\s+20\d{{2}}|(?:{_MONTHS})\s+\d{{1,2}},?\s+20\d{{2}})\b", 1), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
-    return _english(t)
+    return let(t, _english)
 
 
 def _english(t: Column) -> Column:
@@ -81,12 +87,12 @@ DEADLINES = (
 
 def deadline(c: Column) -> Column:
     """the first of the ordered patterns whose date is a day of the calendar."""
-    t = clean_text(c)
-    found = []
-    for p in DEADLINES:
-        part = F.regexp_replace(F.regexp_extract(t, p, 1), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
-        found.append(F.when(part != "", first_filled(notice_date(part), _english(part))).otherwise(""))
-    return first_filled(*found)
+
+    def by(t: Column, pattern: str) -> Column:
+        part = F.regexp_replace(F.regexp_extract(t, pattern, 1), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
+        return let(part, lambda s: F.when(s != "", first_filled(_notice_date(s), _english(s))).otherwise(""))
+
+    return let(clean_text(c), lambda t: first_filled(*[by(t, p) for p in DEADLINES]))
 
 
 def local_day(ts: Column, zone: str = "Asia/Shanghai") -> Column:

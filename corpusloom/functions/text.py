@@ -49,6 +49,11 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that it uses more than once and that is computed once: the plan holds the value one time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(empty_if_null(c), SPACE, " "))
 
