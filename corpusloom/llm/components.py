@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import BROADCAST_BYTES, discard, stored
 
 ROUNDS = 60
+#: Bytes of a node and its least neighbour in a broadcast table.
+NODE_BYTES = 64
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,28 +57,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``edges(u, v)`` (longs), ``label`` the least node that can be reached.
 
-    Alternating large-star and small-star steps; a hot node costs a join key, which adaptive execution splits,
-    and no step has more rows than the edges. Each round is written to the shared folder, and the one before it
+    Alternating large-star and small-star steps, none of which has more rows than the edges. While the least
+    neighbours of all nodes may be broadcast, by the edges' number, a node with many edges is no join key at all;
+    beyond, it is one that adaptive execution splits. Each round is written to the shared folder, and the one before it
     deleted; what is returned is a stored table.
     """
     spark, made, old = edges.sparkSession, [], []
     first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges", made)
-    before = None
+    before, n = None, now.count()
     for _ in range(ROUNDS):
+        side = F.broadcast if 2 * n * NODE_BYTES <= BROADCAST_BYTES else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # now u > v everywhere: each node's smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(side(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         made, old = [], made
         now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", made)
         discard(spark, old)
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, n = tuple(state), state[0]
     else:
         raise RuntimeError("the components didn't settle")
     stars = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
