@@ -201,6 +201,7 @@ def test_related_items_in_blocks(spark, monkeypatch):
         want |= {(a[0], k + 1, s[2], s[0]) for k, s in enumerate(scored[:6])}
     monkeypatch.setattr(joins, "ROWS", 16)
     monkeypatch.setattr(joins, "COMMON", 4)
+    monkeypatch.setattr(joins, "AT_ONCE", 11)
     for anchors in (8192, 7):
         monkeypatch.setattr(joins, "ANCHORS", anchors)
         assert {tuple(x) for x in joins.related_items(r.where("id < 30"), r).collect()} == want
