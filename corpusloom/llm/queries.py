@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .language_model import language_model_scores
 from .licenses import BLANK, CUT, NUMBER, RULES, SENTENCES, STOP, license_scan, most_words
 from .line_dedup import line_dedup
@@ -17,6 +18,7 @@ from .packing import pack
 from .quality import quality, train
 from .token_counts import token_counts
 from .warc import roundtrip
+from .whitening import whiten
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,7 +65,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op6_license_scan, op7_lm_score, op8_line_dedup, op9_exact_dedup, op10_quality_crf)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op6_license_scan, op7_lm_score, op8_line_dedup, op9_exact_dedup, op10_quality_crf, op11_whitening, op13_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,6 +100,38 @@ from d left join p using (doc_id) left join t using (doc_id)
 with d as (select doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) text_sha256 from documents)
 select doc_id, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size,
   doc_id = max(doc_id) over (partition by text_sha256) kept, text_sha256 from d
+""",
+    "op13_filter_audit": r"""
+with recursive letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+l as (select doc_id, max(cast(quality = 1 as int)) good, max(cast(toxic = 1 as int)) toxic from labels group by 1),
+t as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w from t),
+d as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+    case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when w.doc_id > min(w.doc_id) over (partition by t) then 'E' else '' end failed
+  from w left join l on w.doc_id = l.doc_id
+), c as (select part, failed, count(*) n, sum(good) good, sum(toxic) toxic from d group by 1, 2),
+o(filter_order) as (
+  select f from letters union all select filter_order || f from o, letters where length(filter_order) < 5 and not contains(filter_order, f)
+), s as (
+  select filter_order, step, filter_order[step] f, substr(filter_order, 1, cast(step - 1 as int)) before
+  from (select filter_order, unnest(range(1, 6)) step from o where length(filter_order) = 5)
+), r as (
+  select part, filter_order, cast(step as int) step, f,
+    case when before <> '' and regexp_matches(failed, '[' || before || ']') then 1 else 0 end earlier, contains(failed, f) fails, failed = f only_this, n, good, toxic
+  from s, c
+), k as (
+  select part, filter_order, step, f, cast(sum(n * cast(not fails and earlier = 0 as int)) as bigint) kept,
+    cast(sum(n * cast(fails and earlier = 0 as int)) as bigint) removed, cast(sum(n * cast(fails and earlier = 1 as int)) as bigint) redundant,
+    cast(sum(n * cast(only_this as int)) as bigint) unique_fails, cast(sum(good * cast(fails and earlier = 0 as int)) as bigint) good_lost,
+    cast(sum(toxic * cast(fails and earlier = 0 as int)) as bigint) toxic_lost
+  from r group by 1, 2, 3, 4
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, f) as bigint) shapley from k
 """,
     "op6_license_scan": f"""
 with known(sid, s) as (values {", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())}),
