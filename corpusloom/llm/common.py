@@ -75,14 +75,14 @@ def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = HOT_GROUPS) -> DataFrame:
     """``rows`` with the row of ``groups`` that has their ``key``; both are stored tables, ``size`` counts a group's rows.
 
-    A group that holds more than one in ``HOT_GROUPS`` of all rows is hot. There are at most ``HOT_GROUPS`` of these, and
+    A group that holds more than one in ``most`` of all rows is hot. There are at most ``most`` of these, and
     they are broadcast, so that a group's rows never meet in one task; the rest is joined by key.
     """
     total = rows.count()
-    hot = F.col(size) > max(1, total // HOT_GROUPS) if total > 1000 else F.lit(False)
+    hot = F.col(size) > max(1, total // most) if total > 1000 else F.lit(False)
     met = rows.join(F.broadcast(groups.where(hot).withColumn("_hot", F.lit(True))), key, "left")
     done = met.where("_hot").drop("_hot")
     return done.unionByName(met.where("_hot is null").select(rows.columns).join(groups.where(~hot), key).select(done.columns))

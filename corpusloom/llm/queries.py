@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
+from .html_main import main_text
 from .language_model import language_model_scores
 from .licenses import BLANK, CUT, NUMBER, RULES, SENTENCES, STOP, license_scan, most_words
 from .line_dedup import line_dedup
@@ -69,11 +70,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op6_license_scan, op7_lm_score, op8_line_dedup, op9_exact_dedup, op10_quality_crf, op11_whitening, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_warc, op4_decontaminate, op5_pack, op6_license_scan, op7_lm_score, op8_line_dedup, op9_exact_dedup, op10_quality_crf, op11_whitening, op12_html_extraction, op13_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
