@@ -2,10 +2,11 @@
 
 Every text is hashed once into a narrow table. A hash chooses a bucket of the filter, a bitmap of 32,768 bits
 whose number follows the row count, and two bits in it. Pass 1 counts these choices as single numbers, with
-partial sums in each task, and sets the bits of those made more than once. Pass 2 tests each row: one of whose
-two bits is missing is certainly unique and passes straight through. Only the rest, true repeats and the few
-false positives, meet by their SHA-256. A filter larger than what may be broadcast is probed in turns, each
-with a part of the buckets and the rows that belong to them, so no row shuffles to meet it.
+partial sums in each task, and sets the bits of those made more than once: what moves is eight bytes for every
+different choice of a task, no id and no text. Pass 2 tests each row: one of whose two bits is missing is
+certainly unique and passes straight through. Only the rest, true repeats and the few false positives, meet by
+their SHA-256. A filter larger than what may be broadcast is probed in turns, each with a part of the buckets. The
+hashes are written in a folder for each turn, so that all turns together read them once and no row shuffles.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, join_groups, stored
+from .common import ascii_lower, discard, fresh_path, join_groups, stored
 
 BITS_PER_ROW = 8
 BUCKET_BITS = 32_768
@@ -35,6 +36,15 @@ def _is_set(bits: Column, bit: Column) -> Column:
     return F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
 
 
+def _by_turn(df: DataFrame, turns: int, made: list[str], bucket: Column | None = None) -> DataFrame:
+    """``df`` written in a folder for each turn of the filter, so that a turn reads its own part alone. No row moves for it."""
+    path = fresh_path(df.sparkSession, "filter-turns")
+    made.append(path)
+    turn = F.pmod(F.shiftright("choice", 30) if bucket is None else bucket, F.lit(turns)).cast("int")
+    df.withColumn("turn", turn).write.option("compression", "zstd").partitionBy("turn").parquet(path)
+    return df.sparkSession.read.schema(df.withColumn("turn", turn).schema).parquet(path)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -45,18 +55,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     made: list[str] = []
-    hashed = stored(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("sha")), "text-hashes", made)
-    buckets = max(1, -(-hashed.count() * BITS_PER_ROW // BUCKET_BITS))
+    buckets = max(1, -(-docs.count() * BITS_PER_ROW // BUCKET_BITS))
+    turns = max(1, -(-buckets * (BUCKET_BITS // 8) // filter_bytes))
     choice = F.shiftleft(F.pmod(F.xxhash64("sha"), F.lit(buckets)), 30).bitwiseOR(F.xxhash64("sha", F.lit(1)).bitwiseAND((1 << 30) - 1))
-    rows = hashed.select("id", "sha", choice.alias("choice"))
-    bits = stored(repeated_bits(rows), "repeated-bits", made)
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(norm, 256)).alias("sha")).select("id", "sha", choice.alias("choice"))
+    rows = _by_turn(rows, turns, made)
+    bits = _by_turn(repeated_bits(rows), turns, made, F.col("bucket"))
 
-    turns = max(1, -(-bits.count() * (BUCKET_BITS // 8) // filter_bytes))
     maybe = F.coalesce(_is_set(F.col("bits"), F.expr("shiftright(choice, 15) & 32767")) & _is_set(F.col("bits"), F.expr("choice & 32767")), F.lit(False))
     tested = []
     for turn in range(turns):
-        own = F.pmod("bucket", F.lit(turns)) == turn
-        mine = rows.withColumn("bucket", F.shiftright("choice", 30)).where(own).join(F.broadcast(bits.where(own)), "bucket", "left")
+        mine = rows.where(F.col("turn") == turn).withColumn("bucket", F.shiftright("choice", 30))
+        mine = mine.join(F.broadcast(bits.where(F.col("turn") == turn).select("bucket", "bits")), "bucket", "left")
         tested.append(stored(mine.select("id", "sha", maybe.alias("maybe")), "bloom-tested"))
     tested = reduce(DataFrame.union, tested)
     discard(docs.sparkSession, made)
