@@ -41,7 +41,7 @@ MOST_BITS = 20
 GROWTH_FROM = 28
 ROUNDS = 3
 STEP = 0.4
-MINIBATCH = 8192
+MINIBATCH = 4096
 #: For tables inside classes, whose rows are narrower.
 INNER_MINIBATCH = 16384
 #: Bits of a hash that choose a word's place in a direct table.
