@@ -19,11 +19,15 @@ UNIONS = {"categories": 4, "tags": 10, "publisher_licenses": None}
 def merge_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """``incoming`` with ``target``: the last existing record of its title key, else the id of the first incoming row with
     that key, else (no key) its own id. The index of titles never changes once a title has a target, so this needs no loop."""
-    mine = incoming.withColumn("_key", title_key(F.col("title")))
     known = existing.where(empty_if_null(F.col("id").cast("string")) != "").select(title_key(F.col("title")).alias("_key"), "id", "seq").where("_key <> ''")
-    known = known.groupBy("_key").agg(F.max_by("id", "seq").alias("_old"))
+    return with_targets(incoming, known.groupBy("_key").agg(F.max_by("id", "seq").alias("_old")))
+
+
+def with_targets(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``merge_targets``, with the existing records given as ``known(_key, _old)``: a title key's last id."""
+    mine = incoming.withColumn("_key", title_key(F.col("title")))
     first = mine.where("_key <> ''").groupBy("_key").agg(F.min_by("id", "seq").alias("_new"))
-    index = known.join(first, "_key", "full").select("_key", F.coalesce("_old", "_new").alias("_target"))
+    index = first.join(known, "_key", "left").select("_key", F.coalesce("_old", "_new").alias("_target"))
     return mine.join(index, "_key", "left").withColumn("target", F.coalesce("_target", "id")).drop("_key", "_target")
 
 
@@ -38,8 +42,14 @@ def merge_records(existing: DataFrame, incoming: DataFrame, max_items: int | Non
     """
     old = existing.where(empty_if_null(F.col("id").cast("string")) != "")
     last = Window.partitionBy("id").orderBy(F.desc("seq"))
-    old = old.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n").withColumn("target", F.col("id"))
-    rows = old.withColumn("_new", F.lit(0)).unionByName(merge_targets(existing, incoming).withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    old = old.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    out = fold_targets(old, merge_targets(existing, incoming))
+    return out if max_items is None else out.orderBy(*newest_first()).limit(max_items)
+
+
+def fold_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing records of distinct ids, and ``incoming`` with ``target``, folded to a record for each target."""
+    rows = existing.withColumns({"target": F.col("id"), "_new": F.lit(0)}).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rows = rows.withColumn("_at", F.struct("_new", "seq"))
     # when a target became a journal's
     journal = empty_if_null(F.col("source_type")) == "journal"
@@ -89,10 +99,7 @@ def merge_records(existing: DataFrame, incoming: DataFrame, max_items: int | Non
         out = out.withColumn("rights_status", F.when((F.col("_rows") > 1) & reusable_license(F.col("license")), "reusable").otherwise(F.col("rights_status")))
     if "figure_status" in existing.columns and "figures" in existing.columns:
         out = out.withColumn("figure_status", F.when((F.col("_rows") > 1) & (F.size("figures") > 0), "ready").otherwise(F.col("figure_status")))
-    out = out.withColumnRenamed("target", "id").select(*existing.columns)
-    if max_items is None:
-        return out
-    return out.orderBy(*newest_first()).limit(max_items)
+    return out.withColumnRenamed("target", "id").select(*existing.columns)
 
 
 def newest_first() -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, dates, text
 from ..operators import classify, filters, joins, merge, ranking, stats
+from ..operators.catalogue import Catalogue, History
 from ..sources import feeds, html_pages, sinks
 from ..streaming import user_state
 from .adapters import (
@@ -30,6 +31,7 @@ from .adapters import (
     papers_o,
     read,
     runs_e,
+    scratch,
 )
 from .dictionary import TOPICS
 
@@ -442,6 +444,53 @@ def j1_merge_records(spark, d):
     return merged.select("id", "importance", "doi", "abstract", "title", "published", joined("categories"))
 
 
+_STORED_MERGE = _MERGE.replace("count(*) n_rows, ", "").replace("(select k, is_new, rid, seq from r)", "(select k, is_new, rid, seq from ex union all select k, is_new, rid, seq from inc)")
+
+
+def stored_catalogue(spark, papers):
+    catalogue = Catalogue(spark, scratch(spark, "catalogue"), buckets=16, slices=4)
+    catalogue.create(papers)
+    return catalogue
+
+
+@query(_STORED_MERGE)
+def j1_catalogue_merge(spark, d):
+    p = papers_o(spark, d).drop("url", "authors", "source_short").withColumn("id", C("id") % 7000)
+    catalogue = stored_catalogue(spark, p.where("seq % 2 = 0"))
+    catalogue.merge(p.where("seq % 2 = 1"))
+    return catalogue.papers().select("id", "importance", "doi", "abstract", "title", "published", joined("categories"))
+
+
+@query(f"""
+with {PAPERS_O}, r as (select *, {TITLE_KEY.format("title")} k, id % 7000 rid from papers_o), ex as (select * from r where seq % 3 = 0 qualify row_number() over (partition by rid order by seq desc) = 1),
+f as (select * from r where seq % 3 > 0 qualify row_number() over (partition by rid order by seq) = 1)
+select seq, rid as id from f where rid not in (select rid from ex) and k not in (select k from ex)
+""")
+def j2_catalogue_new(spark, d):
+    p = papers_o(spark, d, arrays=False).withColumn("id", C("id") % 7000)
+    return stored_catalogue(spark, p.where("seq % 3 = 0")).new_records(p.where("seq % 3 > 0")).select("seq", "id")
+
+
+@query(f"""
+with {PAPERS_O}, r as (select *, {TITLE_KEY.format("title")} k, seq % 2 is_new, 'run' || length(cast(seq as varchar)) run from papers_o),
+idx as (select k, coalesce(arg_max(id, seq) filter (is_new = 0), arg_min(id, seq) filter (is_new = 1)) target from r group by k),
+a as (select r.*, case when is_new = 0 then r.id else target end target, is_new * 10000000 + seq ord from r join idx using (k))
+select target id, max(importance) importance, coalesce(arg_min(doi, ord) filter (doi <> ''), '') doi, coalesce(arg_max(abstract, ord) filter (abstract <> ''), '') abstract,
+  arg_min(case when is_new = 0 then 'start' else run end, ord) first_seen, arg_max(case when is_new = 0 then 'start' else run end, ord) last_seen
+from a group by target
+""")
+def t3_streaming_merge(spark, d):
+    p = papers_o(spark, d, arrays=False).drop("url", "authors", "source_short")
+    run = F.concat(F.lit("run"), F.length(C("seq").cast("string")))
+    catalogue = stored_catalogue(spark, p.where("seq % 2 = 0").withColumns({"first_seen": F.lit("start"), "last_seen": F.lit("start")}))
+    new, drops, checkpoint = p.where("seq % 2 = 1").withColumns({"first_seen": run, "last_seen": run}), scratch(spark, "drops"), scratch(spark, "checkpoint")
+    for day in [r[0] for r in new.select("first_seen").distinct().orderBy("first_seen").collect()]:  # as many as digits
+        new.where(C("first_seen") == day).write.mode("append").parquet(drops)
+        stream = spark.readStream.schema(new.schema).parquet(drops)
+        catalogue.merge_stream(stream, "daily").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return catalogue.papers().select("id", "importance", "doi", "abstract", "first_seen", "last_seen")
+
+
 @query(f"""
 with {PAPERS_O}, r as (select *, {TITLE_KEY.format("title")} k, id % 7000 rid from papers_o), ex as (select * from r where seq % 3 = 0),
 f as (select * from r where seq % 3 > 0 qualify row_number() over (partition by rid order by seq) = 1)
@@ -724,6 +773,18 @@ def w3_history_union(spark, d):
     return u.select(text.history_key(C("doi"), C("id")).alias("history_key"), "id", "abstract")
 
 
+@query(f"""
+with {PAPERS_O}, x as (select *, case when doi <> '' then 'doi:' || doi else 'id:' || cast(id as varchar) end k, id % 2 origin from papers_o),
+c as (select * from x where origin = 0 and published >= '1997' qualify row_number() over (partition by k order by seq desc) = 1), u as (select * from c union all select * from x where origin = 1)
+select k as history_key, id, abstract from u qualify row_number() over (partition by k order by case when abstract <> '' then 0 else 1 end, origin, seq) = 1
+""")
+def w3_stored_history(spark, d):
+    p = papers_o(spark, d, arrays=False)
+    history = History(spark, scratch(spark, "history"), buckets=16)
+    history.create(p.where("id % 2 = 1"))
+    return history.union(p.where("id % 2 = 0"), 1997).select(text.history_key(C("doi"), C("id")).alias("history_key"), "id", "abstract")
+
+
 @query(f"""
 with {PAPERS_O}, p as (select o.*, coalesce(priority, 0) pr from papers_o o left join prio using (id) where published >= (select cast(cast(max(published) as date) - 14 as varchar) from papers_o)),
 a as (select id from p where pr >= 15 order by importance desc, pr desc, published desc, id limit 32) select id, 'core' as part from a union all select * from (select id, 'rest' from p where id not in (select id from a) order by importance desc, pr desc, published desc, id limit 8)

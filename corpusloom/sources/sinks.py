@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.citations import ris
 from ..functions.text import ci_unique, clip, empty_if_null, first_filled, library_doi, search_text, split_author
 from ..operators.merge import newest_first
+from ..operators.stats import manifest, month_stats
+from .snapshots import Snapshots
 
 
 def with_month(papers: DataFrame) -> DataFrame:
@@ -24,6 +27,38 @@ def write_month_shards(papers: DataFrame, path: str, rows_per_file: int = 1_000_
     files.write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("year", "month").mode("overwrite").parquet(path)
 
 
+def publish_history(papers: DataFrame, completed: DataFrame, start: str, root: str) -> dict:
+    """S17 with A1 and A3, switched together: month shards as in ``write_month_shards``, each in a folder of its own, the months'
+    statistics, and the manifest over all of them, which is in the commit record (its ``about``). Months that the frame doesn't have
+    stay as they were. Until the commit, and after a write that was stopped, readers see the version before."""
+    spark = papers.sparkSession
+    snapshots = Snapshots(spark, root)
+    state = snapshots.state()
+    p = with_month(papers)
+    order = [F.asc("year"), F.asc("month"), *newest_first()]
+    sorted_shards = p.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.concat_ws("-", "year", "month"))
+    months = {**state["tables"].get("papers", {}), **snapshots.stage(sorted_shards, "papers", "part")}
+    whole = spark.read.schema(p.schema).parquet(*[f for _, f in sorted(months.items())]) if months else p
+    stats_rows = month_stats(whole, completed)
+    tables = {"papers": months, "stats": snapshots.stage(stats_rows.withColumn("part", F.lit("all")), "stats", "part")}
+    about = {"manifest": manifest(whole, completed, start).first().asDict(), "schema": p.schema.jsonValue(), "stats": stats_rows.schema.jsonValue()}
+    return snapshots.commit({**state, "tables": tables, "about": about})
+
+
+def published_papers(spark: SparkSession, root: str, months: list[str] | None = None, version: int | None = None) -> DataFrame:
+    """The published shards, in one version throughout; of ``months``, if given, only these are opened."""
+    snapshots = Snapshots(spark, root)
+    state = snapshots.state(version)
+    return snapshots.read("papers", T.StructType.fromJson(state["about"]["schema"]), months, state["version"])
+
+
+def published_stats(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, dict]:
+    """A1 and A3 of a published version: the statistics of its months, and its manifest."""
+    snapshots = Snapshots(spark, root)
+    state = snapshots.state(version)
+    return snapshots.read("stats", T.StructType.fromJson(state["about"]["stats"]), version=state["version"]), state["about"]["manifest"]
+
+
 def search_index(papers: DataFrame) -> DataFrame:
     """The slim columns of a search index with the folded text of all searchable fields."""
     have = set(papers.columns)
