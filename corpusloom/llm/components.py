@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, stored, tidy
 
 ROUNDS = 60
 
@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark, made, old = edges.sparkSession, [], []
     first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = stored(first.mapInArrow(_contract, "u long, v long").distinct(), "edges", made)
+    now = stored(first.mapInArrow(tidy(_contract), "u long, v long").distinct(), "edges", made)
     before = None
     for _ in range(ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_side, stored
+from .common import discard, small_side, stored, tidy
 from .components import components, forest
 from .shingling import Shingler, overlaps
 
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     40 shingles never. Further columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = stored(rows.mapInArrow(_sketches(sketch), "id long, n long, digest binary, sketch array<long>"), "sketches")
+    sketched = stored(rows.mapInArrow(tidy(_sketches(sketch)), "id long, n long, digest binary, sketch array<long>"), "sketches")
     narrow = sketched.where("n > 0 and id is not null").select("id", "n", "digest")
     made: list[str] = []
     classes = stored(narrow.groupBy("digest", "n").agg(F.min("id").alias("rep")), "classes", made)
@@ -188,13 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id that repeats with another text has a sketch for each.
     low = stored(met_in.join(reps.select("id", "n", "sketch"), "id"), "candidate-sketches", made)
     placed = in_blocks(low, group_blocks(low, "n", 1 << 62, made)).repartition("key").sortWithinPartitions("key")
-    near = stored(placed.select("key", "id", "block", "first", "second", "sketch").mapInArrow(_compare(sketch, False), "u long, v long"), "near-pairs", made)
+    near = stored(placed.select("key", "id", "block", "first", "second", "sketch").mapInArrow(tidy(_compare(sketch, False)), "u long, v long"), "near-pairs", made)
 
     close = components(near).select(F.col("node").alias("id"), F.col("label").alias("group"))
     members = stored(close.join(low.select("id", "n"), "id"), "members", made)
-    texts = rows.join(small_side(members.select("id", "group").distinct()), "id").mapInArrow(_full_sets, "id long, group long, shingles binary")
+    texts = rows.join(small_side(members.select("id", "group").distinct()), "id").mapInArrow(tidy(_full_sets), "id long, group long, shingles binary")
     placed = in_blocks(texts, group_blocks(members, "n", BLOCK_SHINGLES, made)).repartition("key").sortWithinPartitions("key")
-    confirmed = stored(placed.select("key", "id", "block", "first", "second", "shingles").mapInArrow(_compare(sketch, True), "u long, v long"), "links", made)
+    confirmed = stored(placed.select("key", "id", "block", "first", "second", "shingles").mapInArrow(tidy(_compare(sketch, True)), "u long, v long"), "links", made)
 
     labels = components(confirmed.union(same))
     discard(docs.sparkSession, made)

@@ -213,5 +213,5 @@ def pack(
     kind = docs.schema[id_col].dataType
     schema = f"{COLUMNS[0]} {kind.simpleString()}, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = rows.mapInArrow(_pack(tokenizer_path, capacity, group_windows, end_id, to_arrow_type(kind)), schema)
+    packed = rows.mapInArrow(tidy(_pack(tokenizer_path, capacity, group_windows, end_id, to_arrow_type(kind))), schema)
     return packed.withColumnRenamed(COLUMNS[0], id_col)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, tidy
 from .shingling import slices
 
 #: Labelled documents to fit on, at most.
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     kind = "label int, features binary"
-    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_features, kind).orderBy(F.sha1("features"), "label").limit(2 * sample_docs).collect()
+    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(tidy(_features), kind).orderBy(F.sha1("features"), "label").limit(2 * sample_docs).collect()
     own = [np.frombuffer(r["features"], np.float32).reshape(-1, OWN).astype(np.float64) for r in got]
     return fit(np.concatenate(own) if own else np.zeros((0, OWN)), np.array([len(x) for x in own], np.int64), np.array([r["label"] for r in got], np.float64))
 
@@ -214,7 +215,9 @@ def quality(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id
         for at in range(0, len(texts), SLICE):  # bounded memory, whatever the batch and the texts
             part = texts.slice(at, SLICE).to_pylist()
             out += [scores(part[x:y], model) for x, y in slices([t or "" for t in part])]
-        return pa.array(np.concatenate(out))
+        got = pa.array(np.concatenate(out))
+        give_back()
+        return got
 
     # Only texts go to Python, and only scores come back.
     rows = docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("score"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"))
