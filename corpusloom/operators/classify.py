@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, empty_if_null, nfkc_lower
+from ..storage import small
 
 _WORDS = re.compile(r"[a-z0-9]+(?:[ -][a-z0-9]+)*")
 
@@ -140,7 +141,7 @@ def source_term_gate(records: DataFrame, sources: DataFrame) -> DataFrame:
     """C4: records whose title holds no excluded term of their source, one of its included terms if it has any, and one of
     its required ones if it has any. ``sources(source, include, exclude, require_any)`` is a small dimension."""
     has = lambda terms: F.exists(terms, lambda t: F.contains(F.col("_title"), F.lower(t)))
-    r = records.withColumn("_title", F.lower(empty_if_null(F.col("title")))).join(F.broadcast(sources), "source", "left")
+    r = records.withColumn("_title", F.lower(empty_if_null(F.col("title")))).join(small(sources), "source", "left")
     empty = F.array().cast("array<string>")
     inc, exc, req = (F.coalesce(F.col(c), empty) for c in ("include", "exclude", "require_any"))
     keep = ~has(exc) & ((F.size(inc) == 0) | has(inc)) & ((F.size(req) == 0) | has(req))
@@ -242,7 +243,7 @@ def reclassify(records: DataFrame, topics: Topics, sources: DataFrame | None = N
     """
     r = records
     if sources is not None:
-        r = r.join(F.broadcast(sources.select("source", "weight", "default_categories")), "source", "left")
+        r = r.join(small(sources.select("source", "weight", "default_categories")), "source", "left")
     weight = F.coalesce(F.col("weight"), F.lit(3)) if "weight" in r.columns else F.lit(3)
     defaults = F.col("default_categories") if "default_categories" in r.columns else None
     body = F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("abstract")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text, empty_if_null, history_key, reusable_license, title_key
 from ..functions.text import doi as normal_doi
-from ..functions.text import empty_if_null, history_key, reusable_license, title_key
+from ..storage import kept
 from .filters import due_for_retry, valid_abstract
 
 #: Of an existing and an incoming value, which one stays: the first or the last that is filled.
@@ -89,10 +92,10 @@ def fold_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         # Elements by their first place; the explode is of short arrays and keeps no group together.
         each = rows.select("target", "_at", F.posexplode(c).alias("_pos", "_e")).groupBy("target", "_e").agg(F.min(F.struct("_at", "_pos")).alias("_p"))
         ranked = each.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("_p")))
-        if cap:
-            ranked = ranked.where(F.col("_n") <= cap)
         lists = ranked.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_e"))), lambda s: s["_e"]).alias(c))
-        out = out.join(lists, "target", "left").withColumn(c, F.coalesce(c, F.array().cast(existing.schema[c].dataType)))
+        united = F.coalesce(c, F.array().cast(existing.schema[c].dataType))
+        # a record that nothing was merged with keeps its list as it is
+        out = out.join(lists, "target", "left").withColumn(c, F.when(F.col("_rows") > 1, F.slice(united, 1, cap)).otherwise(united) if cap else united)
     if "abstract_status" in existing.columns:
         out = out.withColumn("abstract_status", F.when(F.col("_rows") > 1, F.when(empty_if_null(F.col("abstract")) != "", "full").otherwise("missing")).otherwise(F.col("abstract_status")))
     if "rights_status" in existing.columns and "license" in existing.columns:
@@ -129,36 +132,86 @@ def history_union(catalogue: DataFrame, shards: DataFrame, min_year: int = 2001)
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_key", "_origin")
 
 
+def due_candidates(papers: DataFrame, sources: list[dict]) -> DataFrame:
+    """For each DOI of a paper without abstract, what each source has last: ``_doi, found_<i>`` (struct of abstract, arxiv_id).
+
+    Only rows of wanted DOIs are aggregated, and all sources are in one pass: a dump is filtered by the wanted DOIs, a narrow table,
+    before it is shuffled, by a broadcast if these are few, else where its rows meet them."""
+    wanted = kept(papers.where((F.col("_doi") != "") & (empty_if_null(F.col("abstract")) == "")).select("_doi").distinct(), "wanted-dois")
+    if wanted.count() <= WANTED_DOIS:
+        wanted = F.broadcast(wanted)
+    parts = []
+    for i, s in enumerate(sources):
+        arxiv = F.col("arxiv_id") if "arxiv_id" in s["table"].columns else F.lit(None)
+        parts.append(
+            s["table"].select(normal_doi(F.col("doi")).alias("_doi"), F.lit(i).alias("_i"), F.col("seq").cast("long").alias("_seq"), F.struct(F.col("abstract").alias("abstract"), arxiv.cast("string").alias("arxiv_id")).alias("_found"))
+        )
+    rows = reduce(DataFrame.unionByName, parts).where("_doi <> ''").join(wanted, "_doi", "left_semi")
+    mine = lambda i: F.col("_i") == i
+    return kept(rows.groupBy("_doi").agg(*[F.max_by(F.when(mine(i), F.col("_found")), F.when(mine(i), F.col("_seq"))).alias(f"found_{i}") for i in range(len(sources))]), "found-abstracts")
+
+
+#: DOIs of 16 to 60 bytes that are broadcast at most.
+WANTED_DOIS = 500_000
+
+
+def _within(queue: list[tuple[str, bool]], last: dict) -> Column:
+    """Whether a row is at or before ``last`` in an order of columns (name, descending)."""
+    out = F.lit(True)
+    for name, down in reversed(queue):
+        c, v = F.col(name), F.lit(last[name])
+        out = (c > v if down else c < v) | ((c == v) & out)
+    return out
+
+
 def backfill_abstracts(papers: DataFrame, sources: list[dict], now: Column) -> DataFrame:
-    """Missing abstracts from ordered secondary tables, one left join on the DOI each.
+    """Missing abstracts from ordered secondary tables.
 
-    A source: ``name, table(doi, abstract, seq), limit, cooldown_days, default_days, checked`` (the column with
+    A source: ``name, table(doi, abstract, seq[, arxiv_id]), limit, cooldown_days, default_days, checked`` (the column with
     ``{status, checked_at}`` of earlier attempts) and ``validate``. Of a source's queue, the never tried first, then by
     date and importance, ``limit`` rows are looked up; a found text is taken by the first source that has one. Adds
-    ``abstract, abstract_source`` and ``attempt_<name>`` (enriched, not_found, deferred or null).
+    ``abstract, abstract_source`` and ``attempt_<name>`` (enriched, not_found, deferred or null), and, where ``papers`` has
+    ``arxiv_id`` and ``pdf_url``, fills empty ones from the source that gave the text. The papers meet the found texts once, by
+    DOI; a source's queue needs its last row only, which is looked for in a table of narrow columns. Papers without id wait.
     """
     p = papers.withColumn("_doi", normal_doi(F.col("doi")))
-    for s in sources:
+    found = due_candidates(p, sources)
+    narrow, checks = ["id", "title", "abstract", "published", "importance", "_doi"], list(dict.fromkeys(s["checked"] for s in sources))
+    slim = p.where((F.col("_doi") != "") & (empty_if_null(F.col("abstract")) == "") & F.col("id").isNotNull()).select(*narrow, *checks).join(found, "_doi", "left")
+    slim = kept(slim.withColumns({"_published": empty_if_null(F.col("published")), "_importance": F.coalesce(F.col("importance").cast("double"), F.lit(0.0)), "abstract_source": F.lit(None).cast("string"), "_arxiv": F.lit(None).cast("string")}), "papers-due")
+    for i, s in enumerate(sources):
         name, checked = s["name"], F.col(s["checked"])
         due = due_for_retry(empty_if_null(F.col("abstract")) == "", F.col("_doi"), checked["status"], checked["checked_at"], now, s.get("cooldown_days", {}), s.get("default_days"))
-        due = F.coalesce(due, F.lit(False))
-        p = p.withColumn("_due", due).withColumn("_never", F.when(checked["checked_at"].isNull(), 0).otherwise(1))
-        queue = p.where("_due").select("id", "_never", "published", "importance").orderBy("_never", F.desc("published"), F.desc("importance"), "id").limit(s["limit"])
-        table = s["table"].select(normal_doi(F.col("doi")).alias("_doi"), F.col("abstract").alias("_found"), F.col("seq").alias("_seq")).where("_doi <> ''")
-        table = table.groupBy("_doi").agg(F.max_by("_found", "_seq").alias("_found"))
-        looked = queue.select("id", F.lit(True).alias("_looked")).join(p.select("id", "_doi", "title"), "id").join(table, "_doi", "left")
-        text = valid_abstract(F.col("_found"), F.col("title")) if s.get("validate", True) else empty_if_null(F.col("_found"))
-        got = looked.select("id", "_looked", text.alias("_text"))
-        p = p.join(got, "id", "left")
-        new = empty_if_null(F.col("_text")) != ""
-        p = p.withColumns(
+        slim = slim.withColumns({"_due": F.coalesce(due, F.lit(False)), "_never": F.when(checked["checked_at"].isNull(), 0).otherwise(1)})
+        queue = [("_never", False), ("_published", True), ("_importance", True), ("id", False)]
+        head = slim.where("_due").select(*[c for c, _ in queue]).orderBy(*[F.desc(c) if down else F.asc(c) for c, down in queue])
+        last = head.offset(s["limit"] - 1).limit(1).first() if s["limit"] > 0 else None
+        looked = F.col("_due") & (_within(queue, last.asDict()) if last else F.lit(s["limit"] > 0))
+        got = F.col(f"found_{i}")
+        text = valid_abstract(got["abstract"], F.col("title")) if s.get("validate", True) else clean_text(got["abstract"])
+        text = empty_if_null(text)
+        new = looked & (text != "")
+        slim = slim.withColumns(
             {
-                f"attempt_{name}": F.when(F.col("_looked") & new, "enriched").when(F.col("_looked"), "not_found").when(F.col("_due"), "deferred"),
+                f"attempt_{name}": F.when(new, "enriched").when(looked, "not_found").when(F.col("_due"), "deferred"),
                 "abstract_source": F.when(new, F.lit(name)).otherwise(F.col("abstract_source")),
-                "abstract": F.when(new, F.col("_text")).otherwise(F.col("abstract")),
+                "_arxiv": F.when(new, F.nullif(empty_if_null(got["arxiv_id"]), F.lit(""))).otherwise(F.col("_arxiv")),
+                "abstract": F.when(new, text).otherwise(F.col("abstract")),
             }
-        ).drop("_looked", "_text", "_due", "_never")
-    return p.drop("_doi")
+        )
+        # what one source has filled another doesn't look for: the next queue starts from this table
+        slim = kept(slim.drop("_due", "_never"), "papers-due")
+    attempts = [f"attempt_{s['name']}" for s in sources]
+    filled = slim.select("id", "_doi", F.struct(F.col("abstract"), "abstract_source", F.col("_arxiv").alias("arxiv"), *attempts).alias("_filled")).dropDuplicates(["id", "_doi"])
+    out = p.join(filled, ["id", "_doi"], "left")
+    new = F.col("_filled.abstract_source").isNotNull()
+    values = {"abstract": F.when(new, F.col("_filled.abstract")).otherwise(F.col("abstract")), "abstract_source": F.when(new, F.col("_filled.abstract_source")).otherwise(F.col("abstract_source"))}
+    if {"arxiv_id", "pdf_url"} <= set(papers.columns):
+        takes = new & F.col("_filled.arxiv").isNotNull() & (empty_if_null(F.col("arxiv_id")) == "")
+        values["arxiv_id"] = F.when(takes, F.col("_filled.arxiv")).otherwise(F.col("arxiv_id"))
+        values["pdf_url"] = F.when(takes, F.concat(F.lit("https://arxiv.org/pdf/"), F.col("_filled.arxiv"))).otherwise(F.col("pdf_url"))
+    values |= {a: F.col(f"_filled.{a}") for a in attempts}
+    return out.select(*papers.columns, "_filled", *([] if "abstract_source" in papers.columns else [F.lit(None).cast("string").alias("abstract_source")])).withColumns(values).drop("_filled")
 
 
 def abstract_availability(papers: DataFrame, attempts: list[str]) -> DataFrame:

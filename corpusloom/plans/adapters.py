@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch  # noqa: F401  for the queries
+
 PRIORITIES = {"ECONOMY": 4, "LARGE": 20, "MEDIUM": 12, "PROMO": 30, "SMALL": 8, "STANDARD": 16}
 UNFOCUSED = ("ECONOMY", "SMALL")
 GROUPS = {"1-URGENT": "beam", "2-HIGH": "funding", "3-MEDIUM": "funding"}
@@ -19,16 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see; a local session (tests) may do without the setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
-        folder = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def papers_o(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataFrame:
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     text = lambda n: (k % n).cast("string")

@@ -12,7 +12,7 @@ from ..functions import citations, dates, text
 from ..operators import classify, filters, joins, merge, ranking, stats
 from ..operators.catalogue import Catalogue, History
 from ..sources import feeds, html_pages, sinks
-from ..streaming import user_state
+from ..streaming import keyed_state, user_state
 from .adapters import (
     AS_OF,
     COMPLETED,
@@ -429,7 +429,8 @@ rows_ as (select rid target, 0 nw, * exclude (k) from ex union all select idx.ta
 j as (select target, min(nw * 10000000 + seq) js from rows_ where source_type = 'journal' group by 1),
 a as (select rows_.*, nw * 10000000 + seq ord, js from rows_ left join j using (target)),
 cc as (select target, string_agg(category, ',' order by n) categories from (select target, category, row_number() over (partition by target order by f) n from (
-  select target, category, min((nw * 10000000 + seq) * 100 + pos) f from rows_ join (select id, category, row_number() over (partition by id order by category) pos from cats) c on c.id = rows_.seq group by 1, 2)) where n <= 4 group by 1)
+  select target, category, min((nw * 10000000 + seq) * 100 + pos) f from rows_ join (select id, category, row_number() over (partition by id order by category) pos from cats) c on c.id = rows_.seq group by 1, 2))
+  where n <= 4 or target in (select target from rows_ group by 1 having count(*) = 1) group by 1)
 select a.target id, count(*) n_rows, max(importance) importance, coalesce(arg_min(doi, ord) filter (doi <> ''), '') doi, coalesce(arg_max(abstract, ord) filter (abstract <> ''), '') abstract,
   coalesce(arg_max(title, ord) filter (source_type = 'journal'), arg_max(title, ord) filter (js is null or ord < js)) title,
   coalesce(arg_max(published, ord) filter (source_type = 'journal'), arg_max(published, ord) filter (js is null or ord < js)) published, coalesce(any_value(cc.categories), '') categories
@@ -507,7 +508,7 @@ s1 as (select doi, arg_max(abstract, seq) t from papers_d where id % 4 = 0 and d
 q1 as (select id from p where abstract = '' and doi <> '' order by published desc, importance desc, id limit 200),
 v as (select id, title, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) t from p join q1 using (id) join s1 using (doi)),
 w as (select id, t, {TITLE_KEY.format("t")} a, {TITLE_KEY.format("title")} b, title from v), ok1 as (select id, t from w where not (length(t) < 50 or length(t) > 20000 or (b <> '' and (a = b or (starts_with(a, b) and length(t) < length(title) + 35))))),
-q2 as (select id from p where abstract = '' and doi <> '' and id not in (select id from ok1) order by published desc, importance desc, id limit 300), ok2 as (select id, t from p join q2 using (id) join s2 using (doi) where t <> '')
+q2 as (select id from p where abstract = '' and doi <> '' and id not in (select id from ok1) order by published desc, importance desc, id limit 300), c2 as (select id, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) t from p join q2 using (id) join s2 using (doi)), ok2 as (select id, t from c2 where t <> '')
 select id, case when p.abstract <> '' then 'own' when ok1.id is not null then 'one' when ok2.id is not null then 'two' else '' end abstract_source,
   case when p.abstract <> '' or doi = '' then '' when ok1.id is not null then 'enriched' when id in (select id from q1) then 'not_found' else 'deferred' end attempt_one,
   case when p.abstract <> '' or doi = '' or ok1.id is not null then '' when ok2.id is not null then 'enriched' when id in (select id from q2) then 'not_found' else 'deferred' end attempt_two,
@@ -522,6 +523,28 @@ def j3_j4_backfill(spark, d):
     return out.select("id", "abstract_source", text.empty_if_null(C("attempt_one")).alias("attempt_one"), text.empty_if_null(C("attempt_two")).alias("attempt_two"), F.length("abstract").alias("n"))
 
 
+@query(f"""
+with {PAPERS_D}, p as (select id, doi, 'arXiv:' || case when id % 5 = 0 then cast(id as varchar) else '' end had from papers_d),
+s1 as (select doi, arg_max(id, id) src from papers_d where id % 4 = 0 and doi <> '' group by 1), s2 as (select doi, arg_max(id, id) src from papers_d where id % 4 = 2 and doi <> '' group by 1),
+s3 as (select doi, arg_max(id, id) src from papers_d where id % 4 = 1 and doi <> '' group by 1)
+select p.id, coalesce(case when s1.src is not null then 'one' when s2.src is not null then 'two' when s3.src is not null then 'three' end, '') abstract_source,
+  case when had <> 'arXiv:' then had when s1.src is null and s2.src is not null and s2.src % 3 = 0 then 'E' || cast(s2.src as varchar) else had end arxiv_id,
+  case when had = 'arXiv:' and s1.src is null and s2.src is not null and s2.src % 3 = 0 then 'https://arxiv.org/pdf/E' || cast(s2.src as varchar) else '' end pdf_url,
+  coalesce(s1.src, s2.src, s3.src, -1) found from p left join s1 using (doi) left join s2 using (doi) left join s3 using (doi)
+""".replace("'arXiv:' ||", "").replace("'arXiv:'", "''"))
+def j3_cascade_identifiers(spark, d):
+    p = papers_d(spark, d)
+    never = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("checked_at"))
+    need = p.select("id", "doi", F.lit("").alias("title"), F.lit("").alias("abstract"), "published", "importance", F.lit("").alias("abstract_source"), F.when(C("id") % 5 == 0, C("id").cast("string")).otherwise("").alias("arxiv_id"), F.lit("").alias("pdf_url"), never.alias("checked"))
+    body = F.concat(F.lit("A text of the source that is long enough for an abstract, number "), C("id").cast("string")).alias("abstract")
+    source = lambda r: p.where(C("id") % 4 == r).select("doi", body, "seq")
+    with_ids = source(2).withColumn("arxiv_id", F.when(C("seq") % 3 == 0, F.concat(F.lit("E"), C("seq").cast("string"))))
+    many = 1_000_000_000
+    tables = [("one", source(0)), ("two", with_ids), ("three", source(1))]
+    out = merge.backfill_abstracts(need, [{"name": n, "table": t, "limit": many, "checked": "checked"} for n, t in tables], F.lit("2026-01-01").cast("timestamp"))
+    return out.select("id", "abstract_source", "arxiv_id", "pdf_url", F.when(C("abstract") == "", -1).otherwise(F.substring_index("abstract", " ", -1).try_cast("long")).cast("long").alias("found"))
+
+
 @query(f"""
 with {PAPERS_D} select id, case when quality = 1 then 'full' when doi <> '' and id % 2 = 0 and id % 3 = 0 then 'unavailable' else 'missing' end status, concat_ws(',', case when id % 2 = 0 then 'a' end, case when id % 3 = 0 then 'b' end) asked from papers_d
 """)
@@ -928,6 +951,78 @@ def t1_fold_user_ops(spark, d):
     return user_state.fold_user_ops(ops_e(spark, d)).select("user", "type", "item_id", "active", "text", joined("keywords"), "seq")
 
 
+def _as_stream(spark, df, name, files=3):
+    """A table as a stream of as many batches as files."""
+    path = scratch(spark, name)
+    df.repartitionByRange(files, "ts").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(spark, stream, mode):
+    """All that a stream gives, as a table."""
+    path = scratch(spark, "updates")
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("append").parquet(path)).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(f"with {OPS_E} select user_ as user, type_ as type, item_id, active, text_ as text, keywords, seq from state")
+def t1_bounded_state(spark, d):
+    keyed_state.use_keyed_state(spark)
+    updates = _drained(spark, keyed_state.fold_user_ops_bounded(_as_stream(spark, ops_e(spark, d), "ops"), "60 days", queue_days=365), "update")
+    return keyed_state.settled_items(updates).select("user", "type", "item_id", "active", "text", joined("keywords"), "seq")
+
+
+@query(f"with {OPS_E} select op_id from last_ops where seq % 5 <> 0")
+def t2_acknowledged_stream(spark, d):
+    ops = ops_e(spark, d)
+    last = ops.limit(1).withColumns({"op_id": F.lit("end"), "ts": F.lit("2100-01-01").cast("timestamp")})
+    acks = ops.where("seq % 5 = 0").select("op_id", (C("ts") + F.expr("interval 1 hour")).alias("ts"))
+    both = [x.union(x).union(last.select(x.columns)) for x in (ops, acks)]
+    stream = keyed_state.acknowledged_ops(*[_as_stream(spark, x, "queue") for x in both], late="60 days", horizon="2 hours")
+    return keyed_state.remaining_queue(_drained(spark, stream, "append").where("op_id <> 'end'")).select("op_id")
+
+
+_SNAPSHOT_SQL = """
+with e as (select event_id i, user_id u, event_id % 2 side, event_type t, cast(json_extract_string(props, '$.k') as bigint) k from events),
+s as (select u, max(case when side = 0 then 1 else 0 end) r, max(case when side = 1 then 1 else 0 end) l from e group by 1),
+f as (select u, case when l = 1 and u % 3 = 0 then 'merged' when l = 1 and (r = 0 or 1 + u % 2 > u % 4) then 'local' else 'remote' end src from s),
+o as (select e.*, side * 1000000000000 + i ord, src from e join f using (u) where src = 'merged' or side = case src when 'local' then 1 else 0 end),
+fav as (select u, string_agg(kk || '=' || v, ',' order by kk) favorites from (select u, 'k' || cast(k % 12 as varchar) kk, cast(arg_max(i, ord) as varchar) v from o where t = 'click' group by 1, 2) group by 1),
+it as (select u, ord, i, src, case when k % 4 = 0 then 'u' || cast(k % 3 as varchar) else cast(k % 5 as varchar) end name from o where t = 'purchase'),
+ig as (select u, name, min(ord) p, arg_max(i, ord) v from it group by 1, 2),
+items as (select u, string_agg(name || ':' || cast(v as varchar), ',' order by p) code_items from (select u, name, p, v from ig join f using (u) where src = 'merged' union all select u, name, ord, i from it where src <> 'merged') group by 1),
+hid as (select u, string_agg('i' || cast(k as varchar), ',' order by p) hidden from (select u, k, min(ord) p from o where t = 'view' and src = 'merged' group by 1, 2 union all select u, k, ord from o where t = 'view' and src <> 'merged') group by 1),
+gl as (select u, string_agg(term || ':z' || cast(v as varchar), ',' order by p) glossary from (
+  select u, arg_min(case when i % 4 < 2 then 'Term' else 'term' end || cast(k % 6 as varchar), ord) term, arg_min(i, ord) v, min(ord) p from o where t = 'error' and src = 'merged' group by u, k % 6
+  union all select u, case when i % 4 < 2 then 'Term' else 'term' end || cast(k % 6 as varchar), i, ord from o where t = 'error' and src <> 'merged') group by 1)
+select u as user, src as source, coalesce(favorites, '') favorites, coalesce(code_items, '') code_items, coalesce(hidden, '') hidden, coalesce(glossary, '') glossary
+from f left join fav using (u) left join items using (u) left join hid using (u) left join gl using (u)
+"""
+
+
+@query(_SNAPSHOT_SQL)
+def t5_reconcile_snapshots(spark, d):
+    e = read(spark, d, "events").select(C("event_id").alias("i"), C("user_id").alias("user"), (C("event_id") % 2).alias("side"), C("event_type").alias("t"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    listed = lambda kind, item: F.transform(F.array_sort(F.collect_list(F.when(C("t") == kind, F.struct("i", item.alias("x"))))), lambda s: s["x"])
+    name = lambda head, n: F.concat(F.lit(head), (C("k") % n).cast("string"))
+    text_of = lambda c: c.cast("string")
+    item = F.struct(F.when(C("k") % 4 == 0, "").otherwise(text_of(C("k") % 5)).alias("id"), name("u", 3).alias("url"), F.lit("").alias("title"), C("i").alias("n"))
+    term = F.struct(F.concat(F.when(C("i") % 4 < 2, "Term").otherwise("term"), text_of(C("k") % 6)).alias("source"), F.concat(F.lit("z"), text_of(C("i"))).alias("target"))
+    rest = e.groupBy("user", "side").agg(listed("purchase", item).alias("code_items"), listed("view", F.concat(F.lit("i"), text_of(C("k")))).alias("hidden"), listed("error", term).alias("glossary"))
+    fav = e.where("t = 'click'").groupBy("user", "side", name("k", 12).alias("key")).agg(F.max("i").alias("i")).groupBy("user", "side").agg(F.map_from_entries(F.collect_list(F.struct("key", text_of(C("i"))))).alias("favorites"))
+    none, no_map = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    both = rest.join(fav, ["user", "side"], "left").withColumns({"read_status": no_map, "notes": no_map, "translation_favorites": no_map, "keywords": none, "ignored": none, "resources": F.array().cast("array<struct<id:string,url:string,title:string,n:bigint>>")})
+    day = lambda n: F.concat(F.lit("2026-01-0"), text_of(1 + n), F.lit("T00:00:00Z"))
+    remote = both.where("side = 0").withColumns({"updated_at": day(C("user") % 4), "legacy": F.lit(False)})
+    local = both.where("side = 1").withColumns({"updated_at": day(1 + C("user") % 2), "legacy": C("user") % 3 == 0})
+    out = user_state.reconcile_snapshots(remote, local)
+    pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit(":"), x[b].cast("string"))), ",")
+    favorites = F.array_join(F.transform(F.array_sort(F.map_entries("favorites")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    named = F.array_join(F.transform("code_items", lambda x: F.concat(F.coalesce(F.nullif(x["id"], F.lit("")), x["url"]), F.lit(":"), text_of(x["n"]))), ",")
+    return out.select("user", C("from").alias("source"), favorites.alias("favorites"), named.alias("code_items"), joined("hidden"), pairs(C("glossary"), "source", "target").alias("glossary"))
+
+
 @query("select user_id % 40 as id, min(ts) first_seen, max(ts) last_seen from events group by 1")
 def t3_sightings(spark, d):
     return user_state.sightings(read(spark, d, "events").withColumn("id", C("user_id") % 40))

@@ -6,6 +6,7 @@ The watermark of the daily counts is this library's own: rows later than it are
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,61 @@ def reconcile_state(remote: DataFrame, local: DataFrame) -> DataFrame:
     return x.select("user", "from", pick("favorites", united("favorites")), pick("notes", united("notes")), pick("keywords", words))
 
 
+def keyed_list(items, named: str):
+    """An array of structs with ``id, url, title``, merged: one element for each id (url, title, else place), in the place of the first and
+    with the content of the last."""
+    text = lambda x, c: F.nullif(empty_if_null(x[c].cast("string")), F.lit(""))
+    name = lambda x, i: F.coalesce(text(x, "id"), text(x, "url"), text(x, "title"), F.concat(F.lit(f"{named}-"), i.cast("string")))
+    each = F.transform(items, lambda x, i: F.struct(name(x, i).alias("name"), x.alias("item")))
+    names = F.array_distinct(F.transform(each, lambda e: e["name"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(each, lambda e: e["name"] == n), -1)["item"])
+
+
+def clean_terms(terms):
+    """An array of ``source, target``: trimmed, without empty ones, the first of each source in any case."""
+    each = F.transform(terms, lambda t: F.struct(F.trim(empty_if_null(t["source"])).alias("source"), F.trim(empty_if_null(t["target"])).alias("target")))
+    each = F.filter(each, lambda t: (t["source"] != "") & (t["target"] != ""))
+    keys = F.transform(each, lambda t: F.lower(t["source"]))
+    return F.filter(each, lambda t, i: F.array_position(keys, F.lower(t["source"])) == i + 1)
+
+
+MAPS = ("favorites", "read_status", "notes", "translation_favorites")
+LISTS = ("code_items", "resources")
+ID_LISTS = ("hidden", "ignored")
+
+
+def reconcile_snapshots(remote: DataFrame, local: DataFrame) -> DataFrame:
+    """T5, whole snapshots: ``user, from`` and their parts. The newer of two wins wholly; a legacy local draft with content merges into the
+    remote one: maps entry by entry with the local value first, keywords in any case, glossary terms, item lists by id, url or title with
+    the last content, and the ids of hidden and ignored items.
+
+    Snapshots: ``user, updated_at, legacy``, maps ``favorites, read_status, notes, translation_favorites``, ``keywords``, ``glossary``
+    (source, target), ``code_items`` and ``resources`` (id, url, title and more), ``hidden`` and ``ignored`` ids. Null parts are empty.
+    """
+    parts = [*MAPS, "keywords", "glossary", *LISTS, *ID_LISTS]
+    kinds = {f.name: f.dataType.simpleString() for f in remote.schema.fields}
+    empty = {c: (F.create_map() if kinds[c].startswith("map") else F.array()).cast(kinds[c]) for c in parts}
+    r = remote.select("user", F.col("updated_at").alias("r_at"), *[F.coalesce(c, empty[c]).alias(f"r_{c}") for c in parts])
+    held = local.select("user", F.col("updated_at").alias("l_at"), F.coalesce("legacy", F.lit(False)).alias("l_legacy"), F.lit(True).alias("l_is"), *[F.coalesce(c, empty[c]).alias(f"l_{c}") for c in parts])
+    x = r.withColumn("r_is", F.lit(True)).join(held, "user", "full")
+    x = x.withColumns({f"{s}_{c}": F.coalesce(f"{s}_{c}", empty[c]) for s in "rl" for c in parts})
+    at = lambda c: F.coalesce(F.unix_millis(F.try_to_timestamp(c)), F.lit(0))
+    some = reduce(lambda a, b: a | b, [F.size(f"l_{c}") > 0 for c in parts])
+    legacy = F.coalesce("l_legacy", F.lit(False))
+    source = F.when(legacy & some, "merged").when(F.col("l_is").isNotNull() & ~legacy & (at("l_at") > at("r_at")), "local").otherwise("remote")
+
+    def merged(c: str):
+        a, b = F.col(f"r_{c}"), F.col(f"l_{c}")
+        both = F.concat(a, b)
+        if c in MAPS:
+            return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+        return ci_unique(both) if c == "keywords" else clean_terms(both) if c == "glossary" else keyed_list(both, c) if c in LISTS else F.array_distinct(both)
+
+    x = x.withColumn("from", source)
+    pick = lambda c: F.when(F.col("from") == "merged", merged(c)).when(F.col("from") == "local", F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(c)
+    return x.select("user", "from", *[pick(c) for c in parts])
+
+
 def latest_source_status(runs: DataFrame) -> DataFrame:
     """The last run of each source; on a stream an aggregation in update mode."""
     last = runs.groupBy("name").agg(F.max_by(F.struct("kind", "ok", "count", "run_at"), F.struct("run_at", "seq")).alias("p"))
