@@ -188,6 +188,16 @@ def ci_unique(words: Column, limit: int | None = None) -> Column:
     return F.slice(out, 1, limit) if limit else out
 
 
+def trigrams(c: Column) -> Column:
+    """The distinct runs of three characters. Every text that holds another has all of its trigrams."""
+    return F.array_distinct(F.regexp_extract_all(empty_if_null(c), F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def literal_pattern(c: Column) -> Column:
+    """A pattern that matches just this text."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def apply_glossary(c: Column, terms: list[tuple[str, str]]) -> Column:
     """longest sources first, in any case, literally; a table of terms that fits the driver."""
     out = c

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, dates, text
-from ..operators import classify, filters, joins, merge, ranking, stats
+from ..operators import classify, filters, joins, merge, ranking, stats, substrings
 from ..operators.catalogue import Catalogue, History
-from ..sources import feeds, html_pages, sinks
+from ..sources import feeds, html_pages, search_index, sinks
 from ..streaming import keyed_state, user_state
 from .adapters import (
     AS_OF,
@@ -1087,6 +1088,30 @@ def s18_search_index(spark, d):
     return sinks.search_index(p).select("id", "year", "month", "search_text")
 
 
+_SEARCHES = (("license apache", None), ("ICENS", None), ("the of", ["2003", "2004", "2017"]), ("tionen src1", None), ("a b", ["2010"]), ("10.2/69", None), ("no such words anywhere", None))
+
+
+@query(rf"""
+with {{PAPERS_D}}, t as (select id, substr(published, 1, 4) as year, trim(regexp_replace({_sql_fold("concat_ws(' ', title, abstract, source, doi)")}, '[\s\p{{{{Z}}}}]+', ' ', 'g')) s from papers_d)
+""".format(PAPERS_D=PAPERS_D) + " union all ".join(
+    f"select '{q}' as query, year, id from t where {' and '.join(f'contains(s, {chr(39)}{w}{chr(39)})' for w in q.lower().split())}" + (f" and year in ({', '.join(chr(39) + y + chr(39) for y in years)})" if years else "") for q, years in _SEARCHES))
+def s18_indexed_search(spark, d):
+    root = scratch(spark, "search-index")
+    search_index.write_search_index(papers_d(spark, d), root, block=256)
+    index = search_index.SearchIndex(spark, root)
+    found = [index.search(q, years).select(F.lit(q).alias("query"), "year", "id") for q, years in _SEARCHES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query()
+def f25_glossary_table(spark, d):
+    """Thousands of terms, taken from the texts' own words, on all texts; tests compare with one term after the other."""
+    p = papers_d(spark, d).select("id", "abstract")
+    words = p.select(F.explode(F.array_distinct(F.split("abstract", r"[\s\p{Punct}]+"))).alias("source")).where("length(source) between 9 and 40").groupBy(F.lower("source").alias("source")).count()
+    glossary = words.where("count >= 2").select("source", F.concat(F.lit("["), F.upper("source"), F.lit("]")).alias("target"))
+    return substrings.apply_glossary_table(p, glossary, "abstract", "glossed").select("id", F.length("glossed").alias("n"), F.sha2("glossed", 256).alias("glossed_sha256"))
+
+
 @query(f"""
 with {PAPERS_O} select id, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || author || chr(10) || 'JO  - ' || source || chr(10) || 'PY  - ' || substr(published, 1, 4) || chr(10) || 'DA  - ' || published || chr(10)
   || case when doi = '' then '' else 'DO  - ' || doi || chr(10) end || 'UR  - ' || url || chr(10) || case when abstract = '' then '' else 'AB  - ' || abstract || chr(10) end || 'ER  - ' entry from papers_o

@@ -180,7 +180,7 @@ def test_many_terms_equal_few(spark):
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
     hay = spark.createDataFrame([(i, " ".join(word() for _ in range(8))) for i in range(50)], "id long, hay string")
     terms = spark.createDataFrame([(w,) for w in {word() for _ in range(60)}], "word string")
-    few, many = (sorted(map(tuple, joins.contained_terms(hay, terms, few=n, block=25).collect())) for n in (100, 10))
+    few, many = (sorted(map(tuple, joins.contained_terms(hay, terms, few=n).collect())) for n in (100, 10))
     assert few and few == many
 
 
