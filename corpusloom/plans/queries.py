@@ -569,6 +569,15 @@ def j6_localize(spark, d):
     return joins.localize(p, tr).select("id", C("shown_title").alias("title"), "is_translated")
 
 
+@query(f"""
+with {PAPERS_O}, n(category, name) as (values ('LARGE', 'Large things'), ('SMALL', 'Small things'))
+select o.id, coalesce(string_agg(coalesce(n.name, c.category), ',' order by c.category), '') category_names from papers_o o left join cats c on c.id = o.id left join n using (category) group by o.id
+""")
+def j6_category_names(spark, d):
+    p = papers_o(spark, d)
+    return joins.category_names(p, {"LARGE": "Large things", "SMALL": "Small things"}).select("id", joined("category_names"))
+
+
 @query(f"""
 with {OPS_E}, p as (select user_, item_id from state where type_ = 'favorite' and seq % 2 = 0), pub as (select user_, item_id from state where type_ = 'favorite' and seq % 2 = 1), hid as (select user_, item_id from state where type_ = 'ignored')
 select user_ as user, item_id as id from p union select user_, item_id from pub where (user_, item_id) not in (select user_, item_id from hid)
@@ -1034,6 +1043,11 @@ def t4_daily_counts(spark, d):
     return user_state.daily_counts(read(spark, d, "events"))
 
 
+@query(f"with {RUNS_E} select strftime(run_at, '%Y-%m-%d') as day, kind, count(*) runs, cast(sum(count_) as bigint) records, count(*) filter (not ok) failed from runs_e group by 1, 2")
+def t4_run_counts(spark, d):
+    return user_state.run_counts(runs_e(spark, d))
+
+
 @query(f"with {RUNS_E} select name, kind, ok, count_ as count from runs_e qualify row_number() over (partition by name order by run_at desc, seq desc) = 1")
 def t6_latest_source_status(spark, d):
     return user_state.latest_source_status(runs_e(spark, d)).select("name", "kind", "ok", "count")
@@ -1120,6 +1134,16 @@ def s19_ris(spark, d):
     return sinks.ris_entries(papers_o(spark, d, arrays=False))
 
 
+@query(f"""
+with {PAPERS_O}, fav as (select distinct cast(substr(item_id, 5) as bigint) id from state where type_ = 'favorite'), sel as (select 'some' part, id from papers_o where id in (select id from fav) union all select 'none', id from papers_o where source = '2-HIGH')
+select part, id from sel
+""".replace("fav as", OPS_E + ", fav as"))
+def s19_export_selection(spark, d):
+    p, fav = papers_o(spark, d, arrays=False), user_state.fold_user_ops(ops_e(spark, d)).where("type = 'favorite'").select(F.substring("item_id", 5, 20).cast("long").alias("id"))
+    some, none = sinks.export_selection(p, fav), sinks.export_selection(p.where("source = '2-HIGH'"), fav.where("id < 0"))
+    return some.select(F.lit("some").alias("part"), "id").unionByName(none.select(F.lit("none").alias("part"), "id"))
+
+
 @query(f"""
 with {PAPERS_O} select id, title, doi, case when source_type = 'preprint' then 'preprint' else 'journalArticle' end kind, (select count(*) from cats where cats.id = papers_o.id) + (select count(*) from tags where tags.id = papers_o.id) tags from papers_o
 """)

@@ -106,6 +106,20 @@ def s5_events(spark, d):
     return feeds.notices_from_events(raw, s.drop("short", "mode", "weight", "default_categories")).select("source", "url", "title", "content", "event_start", "published")
 
 
+@query("""
+with x as (select doc_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) t, cast(date '2001-01-01' + cast(doc_id % 5000 as integer) as varchar) d from documents where doc_id % 3 > 0)
+select doc_id as id, substr(trim(d || ' — ' || d || ' ' || substr(t, 1, 6000)), 1, 900) summary, substr(t, 1, 6000) as content, d as published, d as event_start, 'Event ' || doc_id heading from x
+""")
+def s9_event_details(spark, d):
+    i, docs = C("doc_id"), read(spark, d, "documents")
+    notices = docs.select(i.alias("id"), F.when(i % 3 == 0, _text("https://other.org/event/", i)).otherwise(_text("https://Indico.lab.org/event/", i, "/page?x=1")).alias("url"))
+    day = F.struct(F.date_add(F.to_date(F.lit("2001-01-01")), (i % 5000).cast("int")).cast("string").alias("date"))
+    escaped = F.replace(F.replace(F.replace(C("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    event = F.struct(_text("Event ", i).alias("title"), escaped.alias("description"), day.alias("startDate"), day.alias("endDate"))
+    exports = docs.select(_text("https://indico.lab.org/export/event/", i, ".json").alias("url"), F.to_json(F.struct(F.array(event).alias("results"))).alias("json"))
+    return feeds.event_details(notices, exports).select("id", "summary", "content", "published", "event_start", "heading")
+
+
 def _page(*parts):
     return _text("<html><head>", *parts, "</body></html>")
 

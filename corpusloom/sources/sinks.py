@@ -79,6 +79,19 @@ def ris_entries(papers: DataFrame) -> DataFrame:
     return papers.select("id", ris(c("title"), c("authors"), c("source"), c("published"), c("doi"), c("url"), c("abstract")).alias("entry"))
 
 
+def export_selection(records: DataFrame, favorites: DataFrame) -> DataFrame:
+    """What an export takes of the filtered ``records``: those that are favourites, if any is, else all."""
+    mine = records.join(favorites.select("id").distinct(), "id", "left_semi")
+    return records if mine.isEmpty() else mine.select(records.columns)
+
+
+def write_ris(records: DataFrame, path: str) -> None:
+    """The entries in the list's order (newest first), a blank line after each, as text files that follow each other."""
+    order = newest_first()
+    listed = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    ris_entries(listed).select(F.concat("entry", F.lit("\n")).alias("value")).write.text(path)
+
+
 def library_items(papers: DataFrame) -> DataFrame:
     """``id, item``: items for a reference manager as JSON. Records without title are left out."""
     cut = lambda name, n: F.substring(F.trim(F.regexp_replace(empty_if_null(F.col(name)), r"\s+", " ")), 1, n)

@@ -107,6 +107,15 @@ def reconcile_state(remote: DataFrame, local: DataFrame) -> DataFrame:
     return x.select("user", "from", pick("favorites", united("favorites")), pick("notes", united("notes")), pick("keywords", words))
 
 
+def run_counts(runs: DataFrame, watermark: str = "7 days") -> DataFrame:
+    """T4: per day and kind of ``run_at`` the runs, the records that they brought, and the failed ones; on a stream, days close after the
+    watermark."""
+    r = runs.withColumn("run_at", F.col("run_at").cast("timestamp"))
+    r = r.withWatermark("run_at", watermark) if r.isStreaming else r
+    counts = [F.count(F.lit(1)).alias("runs"), F.sum(F.col("count").cast("long")).alias("records"), F.count_if(~F.col("ok")).alias("failed")]
+    return r.groupBy(F.window("run_at", "1 day").alias("w"), "kind").agg(*counts).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "kind", "runs", "records", "failed")
+
+
 def keyed_list(items, named: str):
     """An array of structs with ``id, url, title``, merged: one element for each id (url, title, else place), in the place of the first and
     with the content of the last."""
