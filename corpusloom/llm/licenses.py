@@ -63,6 +63,16 @@ SENTENCES = {
     48: "this software is provided as is without any express or implied warranty",
     49: "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     50: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    52: "the gnu general public license is a free copyleft license for software and other kinds of works",
+    53: "the licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+    54: "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users",
+    55: "by contrast the gnu general public licenses are intended to guarantee your freedom to share and change free software to make sure the software is free for all its users",
+    56: "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    57: "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    58: "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    59: "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+    60: "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    61: "contributor version means the combination of the contributions of others if any used by a contributor and that particular contributor s contribution",
     51: "in no event will the authors be held liable for any damages arising from the use of this software",
 }
 
@@ -95,8 +105,14 @@ NAMES = {
 #: How notices lead to the name.
 LEADS = ("licensed under", "released under", "this project is licensed under", "this software is licensed under", "this work is licensed under", "this program is licensed under", "this code is released under", "distributed under")
 
+#: Identifiers that are deprecated, and what they stand for.
+DEPRECATED = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+#: How a line with an identifier begins.
+TAG = "spdx license identifier "
+
 _NOTICES = {f"{lead} {name}": licence for name, licence in NAMES.items() for lead in LEADS}
-_NOTICES |= {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', licence.lower())}": licence for licence in sorted({*NAMES.values(), "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "CC0-1.0", "Zlib"})}
+_TAGGED = {*NAMES.values(), *DEPRECATED.values(), "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "CC0-1.0", "Zlib", "WTFPL"}
+_NOTICES |= {TAG + re.sub("[^a-z0-9]+", " ", name.lower()): DEPRECATED.get(name, name) for name in sorted(_TAGGED | set(DEPRECATED))}
 _OWN = {s: i for i, s in SENTENCES.items()}
 _IDS = {s: _OWN.get(s, 1000 + k) for k, s in enumerate(_NOTICES)}
 SENTENCES |= {i: s for s, i in _IDS.items()}
@@ -114,6 +130,10 @@ RULES = (
     ("AGPL-3.0-or-later", (42, 18)),
     ("LGPL-2.1-or-later", (40, 50)),
     ("LGPL-3.0-or-later", (41, 50)),
+    ("GPL-3.0-only", (52, 53)),
+    ("AGPL-3.0-only", (56, 53)),
+    ("Apache-2.0", (58, 59)),
+    ("MPL-2.0", (60, 61)),
     ("Unlicense", (36, 37)),
     ("Zlib", (48, 51)),
     ("Apache-2.0", (5, 6)),
@@ -126,6 +146,13 @@ RULES = (
     ("LGPL-3.0-or-later", (41,)),
     ("GPL-3.0-only", (10,)),
     ("Apache-2.0", (5,)),
+    ("GPL-3.0-only", (52,)),
+    ("AGPL-3.0-only", (56,)),
+    ("GPL-2.0-only", (54,)),
+    ("LGPL-2.1-only", (55,)),
+    ("LGPL-3.0-only", (57,)),
+    ("Apache-2.0", (58,)),
+    ("MPL-2.0", (60,)),
     ("ISC", (35,)),
     ("Unlicense", (36,)),
     ("MPL-2.0", (38,)),
@@ -147,6 +174,10 @@ CUT = "\x01"
 BLANK, STOP = r"\n[^a-z0-9]*\n", r"([.!?]|conditions:|met:)[ \t\r\n]+"
 #: The number or letter of a clause is no sentence.
 NUMBER = "^([0-9]{1,2}|[a-z])$"
+#: A notice inside a longer sentence; longer names come first.
+INSIDE = rf"\b(?:licensed|released|distributed) under (?:{'|'.join(sorted(NAMES, key=lambda n: (-len(n), n)))})\b"
+#: What joins the identifiers of an expression, with the marker for the words that belong to one, and an exception to it.
+JOINED, LATER, MARK, EXCEPT = " (?:or|and) ", " or later", " orlater", " with .*"
 
 
 def most_words(known) -> int:
@@ -156,7 +187,8 @@ def most_words(known) -> int:
 
 def sentences(text: Column, known=tuple(SENTENCES.values())) -> Column:
     """Normalised sentences: cut at blank lines and at white space after a full stop, exclamation or question mark, or
-    the colon that conditions follow; the number or letter of a clause is left out.
+    the colon that conditions follow; the number or letter of a clause is left out. A notice inside a longer sentence takes its
+    place, and a line with an expression of identifiers gives one sentence for each.
 
     Lines of a sentence are joined where they make a known one, with or without the lines before it, such as a
     title; other lines stay apart, so that a notice on a line of its own is found as well.
@@ -164,15 +196,21 @@ def sentences(text: Column, known=tuple(SENTENCES.values())) -> Column:
     cut = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BLANK, CUT), STOP, f"$1{CUT}")
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     lines = F.transform(F.split(cut, CUT), lambda s: F.filter(F.transform(F.split(s, "\n"), plain), lambda x: x != ""))
-    book = F.array(*map(F.lit, known)).cast("array<string>")
-
     def units(a: Column) -> Column:
         from_ = lambda i: F.array_join(F.slice(a, i, F.size(a)), " ")
-        starts = F.filter(F.sequence(F.greatest(F.size(a) - most_words(known) + 1, F.lit(1)), F.size(a) - 1), lambda i: F.array_contains(book, from_(i)))
+        starts = F.filter(F.sequence(F.greatest(F.size(a) - most_words(known) + 1, F.lit(1)), F.size(a) - 1), lambda i: from_(i).isin(*known))
         whole = F.transform(F.array(F.get(starts, F.lit(0))), lambda i: F.when(i.isNull(), a).otherwise(F.concat(F.slice(a, 1, i - 1), F.array(from_(i)))))
         return F.when(F.size(a) < 2, a).otherwise(F.flatten(whole))
 
-    return F.filter(F.flatten(F.transform(lines, units)), lambda s: ~s.rlike(NUMBER))
+    return F.flatten(F.transform(F.filter(F.flatten(F.transform(lines, units)), lambda s: ~s.rlike(NUMBER)), lambda s: _parts(s, known)))
+
+
+def _parts(s: Column, known) -> Column:
+    """A sentence that isn't known gives way to the notices inside it, a line with several identifiers to one for each."""
+    tag = lambda x: F.concat(F.lit(TAG), F.regexp_replace(F.replace(x, F.lit(MARK), F.lit(LATER)), EXCEPT, ""))
+    tags = F.transform(F.split(F.replace(F.substr(s, F.lit(len(TAG) + 1)), F.lit(LATER), F.lit(MARK)), JOINED), tag)
+    inside = F.regexp_extract_all(s, F.lit(INSIDE), F.lit(0))
+    return F.when(s.isin(*known), F.array(s)).when(F.startswith(s, F.lit(TAG)), tags).when(s.rlike(INSIDE), inside).otherwise(F.array(s))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -187,7 +225,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = F.create_map(*[F.lit(x) for i, s in known.items() for x in (s, i)])
     book = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids")) for i, (name, ids) in enumerate(rules)])
     rows = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col), tuple(known.values())).alias("s"))
-    coded = F.transform("s", lambda s, i: F.struct(i.alias("pos"), F.try_element_at(table, s).alias("sid")))
+    coded = F.transform("s", lambda s, i: F.struct(i.alias("pos"), F.when(s.isin(*known.values()), F.try_element_at(table, s)).alias("sid")))
     rows = rows.select("id", F.size("s").cast("long").alias("n_sentences"), F.filter(coded, lambda e: e["sid"].isNotNull()).alias("e"))
     rows = rows.withColumn("at", F.map_from_entries("e")).withColumn("book", F.when(F.size("e") > 0, book))
 

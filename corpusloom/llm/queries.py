@@ -12,7 +12,7 @@ from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
 from .html_main import main_text
 from .language_model import language_model_scores
-from .licenses import BLANK, CUT, NUMBER, RULES, SENTENCES, STOP, license_scan, most_words
+from .licenses import BLANK, CUT, EXCEPT, INSIDE, JOINED, LATER, MARK, NUMBER, RULES, SENTENCES, STOP, TAG, license_scan, most_words
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
@@ -141,11 +141,15 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
     "op6_license_scan": f"""
 with known(sid, s) as (values {", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())}),
 rules(ord, name, ids) as (values {", ".join(f"({i}, '{n}', {list(ids)})" for i, (n, ids) in enumerate(RULES))}),
-d as (
+u as (
   select doc_id, list_filter(flatten(list_transform(ls, lambda a: case when len(a) < 2 then a else coalesce(
     list_filter(list_transform(range(greatest(len(a) - {most_words(SENTENCES.values()) - 1}, 1), len(a)), lambda i: case when list_contains({list(SENTENCES.values())}, array_to_string(a[i:], ' ')) then list_append(a[:i - 1], array_to_string(a[i:], ' ')) end), lambda x: x is not null)[1], a) end)), lambda x: not regexp_matches(x, '{NUMBER}')) s
   from (select doc_id, list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{BLANK}', '{CUT}', 'g'), '{STOP}', '\\1{CUT}', 'g'), '{CUT}'),
     lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda q: trim(regexp_replace(q, '[^a-z0-9]+', ' ', 'g'))), lambda q: q <> '')) ls from documents)
+), d as (
+  select doc_id, flatten(list_transform(s, lambda x: case when list_contains({list(SENTENCES.values())}, x) then [x]
+    when starts_with(x, '{TAG}') then list_transform(string_split_regex(replace(substr(x, {len(TAG) + 1}), '{LATER}', '{MARK}'), '{JOINED}'), lambda y: '{TAG}' || regexp_replace(replace(y, '{MARK}', '{LATER}'), '{EXCEPT}', ''))
+    when regexp_matches(x, '{INSIDE}') then regexp_extract_all(x, '{INSIDE}') else [x] end)) s from u
 ), e as (select doc_id, pos, sid from (select doc_id, unnest(s) s, unnest(range(len(s))) pos from d) join known using (s)),
 m as (
   select e.doc_id, e.pos st, e.pos + len(ids) en, ord, name from e join rules on ids[1] = sid

@@ -332,6 +332,55 @@ def test_wrapped_licenses(spark, width, mark):
     assert got == {1: (1, "MIT"), 2: (1, "MIT"), 3: (1, "BSD-2-Clause"), 4: (1, "GPL-3.0-or-later"), 5: (1, "Apache-2.0"), 6: (1, "MIT"), 7: (1, "proprietary"), 8: (1, "BSD-3-Clause"), 9: (1, "LGPL-2.1-or-later"), 10: (1, "MPL-2.0"), 11: (1, "ISC")}
 
 
+def test_license_texts_tags_and_notices_inside_sentences(spark):
+    import textwrap
+
+    gpl3 = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.  By contrast,
+"""
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+"""
+    mpl = textwrap.fill('1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.', 60)
+    rows = [
+        (1, gpl3, "GPL-3.0-only"),
+        (2, apache, "Apache-2.0"),
+        (3, "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode", "Apache-2.0,MIT"),
+        (4, "// SPDX-License-Identifier: GPL-2.0\nint x;", "GPL-2.0-only"),
+        (5, "The code is licensed under the MIT license, see LICENSE.", "MIT"),
+        (6, "SPDX-License-Identifier: (GPL-2.0-or-later OR LGPL-2.1-or-later) AND MIT", "GPL-2.0-or-later,LGPL-2.1-or-later,MIT"),
+        (7, "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+        (8, mpl, "MPL-2.0"),
+        (9, "It isn't clear what is licensed under the mitigation plan, or under the MIT licenses.", ""),
+        (10, "Parts are licensed under the BSD 3-Clause License and parts released under the Apache License, Version 2.0, as said.", "Apache-2.0,BSD-3-Clause"),
+        (11, "SPDX-License-Identifier: NOASSERTION", ""),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: names for i, _, names in rows}
+
+
 def test_language_model(spark, docs, empty):
     rows = awkward()
     tokens = [(r[0], [x for x in re.split("[\x20\x09-\x0d]+", (r[1] or "").translate(LOW)) if x] + [None]) for r in rows]
