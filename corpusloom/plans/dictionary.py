@@ -1,5 +1,7 @@
 """A small dictionary for the given tables' words, so that term matching has work to do; production dictionaries are arguments too."""
 
+from itertools import product
+
 from ..operators.classify import Gate, Topic, Topics
 
 TOPICS = Topics(
@@ -20,3 +22,15 @@ TOPICS = Topics(
     fallback="other",
     source_fallbacks=((("src3",), "romance"), (("src1",), "general")),
 )
+
+#: As many terms and categories as a production dictionary has: pairs of syllables, dealt to fifteen categories.
+SYLLABLES = ("th", "on", "er", "ti", "he", "re", "an", "in", "es", "le", "en", "de", "la", "ou", "st", "or")
+_PAIRS = [a + b for a, b in product(SYLLABLES, repeat=2)][:255]
+_NAMES = ("general", "romance", *(f"topic{i:02d}" for i in range(13)))
+LARGE_TOPICS = Topics(
+    topics=tuple(Topic(name, name.title(), tuple(_PAIRS[i::15]), 4 + 2 * i) for i, name in enumerate(_NAMES)),
+    priority_terms=("for the", "license", "été", "sich", "this"),
+    general="general",
+    fallback="other",
+    source_fallbacks=((("src3",), "romance"), (("src1",), "general")),
+)

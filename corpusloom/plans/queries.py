@@ -34,7 +34,7 @@ from .adapters import (
     runs_e,
     scratch,
 )
-from .dictionary import TOPICS
+from .dictionary import LARGE_TOPICS, TOPICS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -377,12 +377,12 @@ def c13_directory(spark, d):
 # --- classification ---------------------------------------------------------------------------------------------------
 
 
-def _sql_classify() -> str:
+def _sql_classify(topics=TOPICS) -> str:
     """K1-K6 in SQL: the topics' hits as lists, then the same order and cuts."""
     t = "t"
     parts = []
-    gate = TOPICS.gates["gated"]
-    for i, topic in enumerate(TOPICS.topics):
+    gate = topics.gates.get("gated")
+    for i, topic in enumerate(topics.topics):
         hits = "list_filter([" + ", ".join(f"case when {_sql_hit(t, k)} then '{k}' end" for k in topic.keywords) + "], lambda x: x is not null)"
         passes = "true"
         if topic.id == "gated":
@@ -394,11 +394,11 @@ def _sql_classify() -> str:
 with {PAPERS_D}, x as (select *, lower(title || ' ' || abstract || ' ' || source) t, lower(title || ' ' || abstract) ta, lower(source) s, 2 + id % 4 w, case when id % 5 = 0 then 'romance' end dflt from papers_d),
 h as ({" union all ".join(parts)}), ok as (select * from h where ok and len(h) > 0),
 r as (select *, row_number() over (partition by id order by len(h) desc, p desc, nm) rn from ok),
-c as (select id, c, p, rn from r where rn <= 4 union all select id, 'romance', 15, 9 from x where dflt is not null and id not in (select id from r where rn <= 4 and c = 'romance')),
+c as (select id, c, p, rn from r where rn <= 4 union all select id, 'romance', {next(z.priority for z in topics.topics if z.id == 'romance')}, 9 from x where dflt is not null and id not in (select id from r where rn <= 4 and c = 'romance')),
 k as (select id, list(c order by rk) cats from (select id, c, row_number() over (partition by id order by p desc, rn) rk from c) where rk <= 4 group by 1),
 tg as (select id, list(tag order by i, pos) tags from (select id, tag, min(i) i, min(pos) pos from (select id, i, unnest(h[1:3]) tag, unnest(range(len(h[1:3]))) pos from ok) group by id, tag) group by 1),
-f as (select x.*, coalesce(cats, [case when contains(s, 'src3') then 'romance' when contains(s, 'src1') then 'general' else 'other' end]) cats, coalesce(tags, [])[1:8] tags, {_sql_count('ta', TOPICS.priority_terms)} ph from x left join k using (id) left join tg using (id)),
-g as (select *, coalesce(list_max(list_transform(cats, lambda c: case c {" ".join(f"when '{z.id}' then {z.priority}" for z in TOPICS.topics)} else 0 end)), 0) mp from f)
+f as (select x.*, coalesce(cats, [case when contains(s, 'src3') then 'romance' when contains(s, 'src1') then 'general' else 'other' end]) cats, coalesce(tags, [])[1:8] tags, {_sql_count('ta', topics.priority_terms)} ph from x left join k using (id) left join tg using (id)),
+g as (select *, coalesce(list_max(list_transform(cats, lambda c: case c {" ".join(f"when '{z.id}' then {z.priority}" for z in topics.topics)} else 0 end)), 0) mp from f)
 select id, array_to_string(cats, ',') categories, array_to_string(tags, ',') tags, cats[1] primary_topic,
   concat_ws(',', case when {methods(classify.EXPERIMENTAL)} then 'experimental' end, case when {methods(classify.THEORETICAL)} then 'theoretical' end, case when {methods(classify.REVIEW)} then 'review' end) methods,
   case when len(tags) > 0 then least(0.98, round(0.48 + len(tags) * 0.08, 2)) else 0.38 end classification_confidence, array_to_string(tags[1:6], ',') classification_evidence,
@@ -407,13 +407,22 @@ select id, array_to_string(cats, ',') categories, array_to_string(tags, ',') tag
 """
 
 
-@query(_sql_classify())
-def k1_k8_reclassify(spark, d):
+def _classified(spark, d, topics):
     p = papers_d(spark, d).withColumns({"weight": (2 + C("id") % 4).cast("int"), "default_categories": F.when(C("id") % 5 == 0, F.array(F.lit("romance"), F.lit("nothing")))})
-    r = classify.reclassify(p, TOPICS)
+    r = classify.reclassify(p, topics)
     return r.select("id", joined("categories"), joined("tags"), "primary_topic", joined("methods"), "classification_confidence", joined("classification_evidence"), "importance", F.size("score_reasons").alias("n_reasons"))
 
 
+@query(_sql_classify())
+def k1_k8_reclassify(spark, d):
+    return _classified(spark, d, TOPICS)
+
+
+@query(_sql_classify(LARGE_TOPICS))
+def k8_large_dictionary(spark, d):
+    return _classified(spark, d, LARGE_TOPICS)
+
+
 @query("select doc_id, concat_ws(',', case when contains(lower(text), 'license') or contains(lower(text), 'rights') then 'legal' end, case when contains(lower(text), '!!') then 'loud' end) labels from documents")
 def k7_notice_labels(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(classify.notice_labels(C("text"), (("legal", ("license", "rights")), ("loud", ("!!",)))), ",").alias("labels"))
