@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import empty_if_null, history_key, title_key
 from ..sources.snapshots import Buckets, Snapshots, part_of
-from .merge import fold_targets, new_records, with_targets
+from .merge import UNIONS, fold_targets, new_records, with_targets
 
 #: The log of title keys is written anew when it has so many parts.
 LOG_PARTS = 32
@@ -58,10 +58,11 @@ class Catalogue:
     # -- writing
 
     def create(self, papers: DataFrame) -> dict:
-        """The first version: of records with one id the last by ``seq``; those without id go."""
+        """The first version: of records with one id the last by ``seq``, with its lists within their limits; those without id go."""
         if self.snapshots.versions():
             raise ValueError(f"{self.snapshots.root} holds a catalogue")
         last = papers.where(empty_if_null(F.col("id").cast("string")) != "").groupBy("id").agg(F.max_by(F.struct(*papers.columns), "seq").alias("p")).select("p.*")
+        last = last.withColumns({c: F.slice(F.array_distinct(c), 1, cap) for c, cap in UNIONS.items() if cap and c in papers.columns})
         state = self.snapshots.state()
         state["about"] = {"schema": papers.schema.jsonValue(), "buckets": self.buckets, "slices": self.slices}
         state["tables"] = {"records": self._stage_records(last)}

@@ -88,14 +88,19 @@ def fold_targets(existing: DataFrame, incoming: DataFrame) -> DataFrame:
                 value = F.when(F.max("type") == "notice", F.coalesce(pick(c, filled), F.max(c))).otherwise(value)
             aggregates.append(value.alias(c))
     out = rows.groupBy("target").agg(F.min(F.struct("_at", "seq"))["seq"].alias("seq"), *aggregates)
-    for c, cap in unions.items():
-        # Elements by their first place; the explode is of short arrays and keeps no group together.
-        each = rows.select("target", "_at", F.posexplode(c).alias("_pos", "_e")).groupBy("target", "_e").agg(F.min(F.struct("_at", "_pos")).alias("_p"))
-        ranked = each.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("_p")))
-        lists = ranked.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_e"))), lambda s: s["_e"]).alias(c))
-        united = F.coalesce(c, F.array().cast(existing.schema[c].dataType))
-        # a record that nothing was merged with keeps its list as it is
-        out = out.join(lists, "target", "left").withColumn(c, F.when(F.col("_rows") > 1, F.slice(united, 1, cap)).otherwise(united) if cap else united)
+    if unions:
+        # Elements of all lists by their first place; the explode is of short arrays and keeps no group together.
+        none = F.array().cast("array<string>")
+        marked = lambda k, c: F.transform(F.coalesce(c, none), lambda e, i: F.struct(F.lit(k).alias("_kind"), i.alias("_pos"), e.alias("_e")))
+        marks = [marked(k, c) for k, c in enumerate(unions)]
+        each = rows.select("target", "_at", F.inline(F.concat(*marks))).groupBy("target", "_kind", "_e").agg(F.min(F.struct("_at", "_pos")).alias("_p"))
+        lists = each.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("_kind", "_p", "_e"))).alias("_lists"))
+        out = out.join(lists, "target", "left")
+        held = F.coalesce("_lists", F.array().cast(lists.schema["_lists"].dataType))
+        of_kind = lambda k: F.filter(held, lambda x: x["_kind"] == k)
+        for k, (c, cap) in enumerate(unions.items()):
+            united = F.transform(of_kind(k), lambda x: x["_e"])
+            out = out.withColumn(c, F.slice(united, 1, cap) if cap else united)
     if "abstract_status" in existing.columns:
         out = out.withColumn("abstract_status", F.when(F.col("_rows") > 1, F.when(empty_if_null(F.col("abstract")) != "", "full").otherwise("missing")).otherwise(F.col("abstract_status")))
     if "rights_status" in existing.columns and "license" in existing.columns:
