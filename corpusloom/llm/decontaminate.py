@@ -7,7 +7,8 @@ The shingle's place in the window fixes where the window must start in the docum
 how many words must follow (length bound). There, the words of every shingle of the window must be those of
 the document: a join on document and place, since the scan has kept all places of shingles that items have.
 
-The corpus is read once for each block of windows; nearly always there is one block. That scan leaves a
+The corpus is read once for each block of windows, nearly always one, and each size of shingle: items of four
+words and more share one size, and items of one, two or three words add a scan for each of these sizes. A scan leaves a
 narrow row for each document and one for each shingle that items have, and nothing else moves.
 """
 

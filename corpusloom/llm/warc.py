@@ -163,6 +163,8 @@ def write_archives(pages: DataFrame, folder: str, minimum: int = 0, id_col: str
     Of records with equal payloads of at least ``minimum`` bytes, that with the largest page id is a response and
     the others revisit it; smaller ones are all responses. A null payload counts as empty, a null url as an empty
     one. Rows that repeat the largest id with an equal payload are all responses. Further columns are ignored.
+    A null id is written without one and read back as null; it is never the largest. Ids are integers: others are written as text,
+    and reading them back raises.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit(""))

@@ -574,3 +574,29 @@ def test_registration():
     names = set(e.queries())
     assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 11)) and "pipeline" in names
 
+
+
+def test_quality_keeps_the_seam_between_documents(spark):
+    """A good training document followed by a bad one, with lines that only these classes have: marginals fall at the seam."""
+    good = "\n".join(f"plain words about the matter number {i} and what follows from it." for i in range(6))
+    bad = "\n".join(f"%%% ### {i} $$$ !!! &&& *** |||" for i in range(6))
+    docs = [(i, good if i % 2 else bad) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.train(df, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
+    both = spark.createDataFrame([(1, good), (2, bad), (3, good + "\n" + bad), (4, ""), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.quality(both, model).collect()}
+    share = len(good) / (len(good) + len(bad))
+    assert got[1] > 0.95 and got[2] < 0.05 and abs(got[3] - share) < 0.15
+    assert got[4] == got[5] and 0 <= got[4] <= 1
+
+
+def test_exact_dedup_reads_each_turn_of_its_filter_alone(spark, docs, monkeypatch):
+    from corpusloom.llm import exact_dedup as ed
+
+    seen = []
+    plain = ed.stored
+    monkeypatch.setattr(ed, "stored", lambda df, name, made=None: (seen.append(df._jdf.queryExecution().executedPlan().toString()) if name == "bloom-tested" else None, plain(df, name, made))[1])
+    monkeypatch.setattr(ed, "BITS_PER_ROW", 4096)
+    rows = sorted(map(str, exact_dedup(docs, filter_bytes=3 * 4096).collect()))
+    assert len(seen) > 1 and all(p.count("PartitionFilters: [isnotnull(turn") == 2 for p in seen)
+    assert len(rows) == docs.count()
