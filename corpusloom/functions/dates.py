@@ -38,6 +38,7 @@ def iso_date(c: Column) -> Column:
 
 
 def _iso_date(t: Column) -> Column:
+    # fixed values: the forms of a date that feeds use
     mail = r"(?i)^(?:[a-z]{3},\s*)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+\d{1,2}:\d{2}"
     by_mail = _ymd(F.regexp_extract(t, mail, 3), _month_number(F.regexp_extract(t, mail, 2)), F.regexp_extract(t, mail, 1))
     number = r"(20\d{2}|19\d{2})[-/.](\d{1,2})[-/.](\d{1,2})"
@@ -52,6 +53,7 @@ def notice_date(c: Column) -> Column:
 
 
 def _notice_date(t: Column) -> Column:
+    # fixed value: the form of a date in notices
     pattern = r"(?<!\d)(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
     last = lambda i: F.try_element_at(F.regexp_extract_all(t, F.lit(pattern), i), F.lit(-1))
     return F.when(last(1).isNotNull(), _ymd(last(1), last(2), last(3))).otherwise(_iso_date(F.trim(t)))
@@ -59,6 +61,7 @@ def _notice_date(t: Column) -> Column:
 
 def english_date(c: Column) -> Column:
     """the first ``1 June 2026`` or ``June 1, 2026``."""
+    # fixed values: the two English forms of a date, and the ending of its number
     t = F.regexp_replace(F.regexp_extract(empty_if_null(c), rf"(?i)\b(\d{{1,2}}\s+(?:{_MONTHS})\s+20\d{{2}}|(?:{_MONTHS})\s+\d{{1,2}},?\s+20\d{{2}})\b", 1), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
     return let(t, _english)
 
@@ -71,10 +74,12 @@ def _english(t: Column) -> Column:
 
 def url_date(c: Column) -> Column:
     """``t20260102`` or ``20260102`` between separators of a url."""
+    # fixed value: the form of a date in urls
     pattern = r"(?i)(?:^|[/_-])t?(20\d{2})(\d{2})(\d{2})(?:[_/.-]|$)"
     return _ymd(*[F.regexp_extract(empty_if_null(c), pattern, i) for i in (1, 2, 3)])
 
 
+#: Fixed value: the forms of a date that deadlines have.
 _WHEN = rf"({_MDY}|{_DMY}|20\d{{2}}[-/.]\d{{1,2}}[-/.]\d{{1,2}})"
 #: Ordered patterns of deadlines.
 DEADLINES = (
