@@ -13,7 +13,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, stored
+from .common import WHITESPACE, discard, stored
 
 
 def lattice(n: int) -> list[tuple[int, int, int, int]]:
@@ -40,7 +40,7 @@ def text_conditions(text: Column) -> dict[str, Column]:
     }
 
 
-def failure_counts(docs: DataFrame, labels: DataFrame, conditions=text_conditions, copies: str = "E") -> tuple[list[str], DataFrame]:
+def failure_counts(docs: DataFrame, labels: DataFrame, made: list[str], conditions=text_conditions, copies: str = "E") -> tuple[list[str], DataFrame]:
     """Filters, and per part and set of failed filters the documents: part, failed (bits), n, good, toxic.
 
     Texts shrink to 128 bits of a hash in the scan. Copies are never brought together: each group keeps, per part, its counts
@@ -57,7 +57,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame, conditions=text_condition
         failed.alias("failed"),
     )
     # repeated rows meet here, so a doc_id has one row per part and text
-    rows = stored(rows.groupBy("doc_id", "part", "hash", "failed").agg(F.count("*").alias("n")), "audited")
+    rows = stored(rows.groupBy("doc_id", "part", "hash", "failed").agg(F.count("*").alias("n")), "audited", made)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
@@ -91,7 +91,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame, conditions=text_conditions,
     no label. Of repeated labels any 1 counts. Extra columns are ignored, whatever their names. An empty table has no parts and so
     no rows. Letters of the filters are the names of ``conditions``, then ``copies``.
     """
-    names, counts = failure_counts(docs, labels, conditions, copies)
+    made: list[str] = []
+    names, counts = failure_counts(docs, labels, made, conditions, copies)
     fields = ("state", "filter", "bit", "forward", "backward")
     edges = [(s, f, 1 << f, forward, backward) for s, f, forward, backward in lattice(len(names))]
     at = counts.select("*", F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(fields, e)]) for e in edges])))
@@ -107,6 +108,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, conditions=text_conditions,
         total("toxic", fails & ~earlier).alias("toxic_lost"),
     )
     steps = stored(steps, "audit-edges")
+    discard(docs.sparkSession, made)
     shares = steps.groupBy("part", "filter").agg(F.sum(F.col("removed") * F.col("forward") * F.col("backward")).cast("long").alias("shapley"))
     path = [
         ("".join(names[f] for f in order), step + 1, sum(1 << g for g in order[:step]), f)

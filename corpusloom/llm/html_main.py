@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dom
-from .common import join_groups, stored
+from .common import discard, join_groups, stored
 
 #: A text is template where this many different pages have its container, and this share of them the text.
 LEAST_PAGES, SHARE = 4, 0.8
@@ -69,25 +69,23 @@ def _texts(batches):
         )
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """One page's shape per host: host, pages (how many), reference. Only hashes and lengths meet until the page is known."""
+def references(pages: DataFrame, made: list[str]) -> DataFrame:
+    """One page's shape per host: host, pages (how many), reference. A task sends one page for each of its hosts, whatever a host's size."""
     length = F.length("html").cast("long")
     rank = F.when(length >= REFERENCE_CHARS, F.least(length, F.lit((1 << 26) - 1))).otherwise((1 << 27) - length)
     key = F.shiftleft(rank, 35) + F.xxhash64("html").bitwiseAND(F.lit((1 << 35) - 1))
-    ranked = pages.select("host", "html", key.alias("rank"))
-    best = stored(ranked.groupBy("host").agg(F.min("rank").alias("best"), F.count("*").alias("pages")), "hosts")
-    met = join_groups(ranked, best, "host", "pages", HOT_HOSTS).where("rank = best")
-    return stored(met.groupBy("host", "pages").agg(F.min("html").alias("html")).mapInArrow(_shapes, "host string, pages long, reference binary"), "references")
+    best = pages.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("html", key).alias("html"))
+    return stored(best.mapInArrow(_shapes, "host string, pages long, reference binary"), "references", made)
 
 
-def templates(parsed: DataFrame) -> DataFrame:
+def templates(parsed: DataFrame, made: list[str]) -> DataFrame:
     """Each host's constant texts: host, template (their keys). Pages with the same longest text are copies of one article and count
     once. A host has fewer keys than its pages have runs of text, since most pages that have a container share each of its keys."""
     longest = F.array_max(F.transform("texts", lambda t: F.struct(F.length(t).alias("n"), F.xxhash64(t).alias("mark"))))
     marked = parsed.select("host", longest["mark"].alias("mark"), "containers", "keys")
     both = F.array_distinct(F.concat(F.arrays_zip("containers", "keys"), F.transform("containers", lambda c: F.struct(c.alias("containers"), F.lit(0).cast("long").alias("keys")))))
     votes = marked.select("host", "mark", F.inline(both)).distinct()
-    counts = stored(votes.groupBy("host", "containers", "keys").count().where(F.col("count") >= LEAST_PAGES), "votes")
+    counts = stored(votes.groupBy("host", "containers", "keys").count().where(F.col("count") >= LEAST_PAGES), "votes", made)
     every = counts.where("keys = 0").select("host", "containers", F.col("count").alias("all"))
     constant = counts.where("keys <> 0").join(every, ["host", "containers"]).where(F.col("count") >= SHARE * F.col("all"))
     return constant.groupBy("host").agg(F.collect_set("keys").alias("template"))
@@ -103,10 +101,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     links go and all else stays.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
-    shapes = references(rows.select("host", "html"))
+    made: list[str] = []
+    shapes = references(rows.select("host", "html"), made)
     parsed = T.StructType([rows.schema["page_id"], rows.schema["url"], rows.schema["host"], *T._parse_datatype_string(_RUN_TYPES).fields])
     met = join_groups(rows, shapes, "host", "pages", HOT_HOSTS).select("page_id", "url", "html", "host", "reference")
     parsed = stored(met.mapInArrow(_parsed, parsed), "runs")
-    wrappers = stored(shapes.select("host", "pages").join(templates(parsed), "host", "left"), "wrappers")
+    wrappers = stored(shapes.select("host", "pages").join(templates(parsed, made), "host", "left"), "wrappers")
+    discard(pages.sparkSession, made)
     out = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return join_groups(parsed, wrappers, "host", "pages", HOT_HOSTS).select("page_id", "url", *_RUNS, "template").mapInArrow(_texts, out)

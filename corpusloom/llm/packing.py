@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import tidy
 
 CAPACITY = 1024
 GROUP_WINDOWS = 32
