@@ -1,9 +1,12 @@
 """Steps whose memory, disk or time once grew faster than their tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import merge
+from corpusloom.operators import merge, substrings
 from corpusloom.plans import queries as plans
+from corpusloom.sources import feeds
 
 
 def test_rows_far_down_a_queue_are_found_by_range(spark, monkeypatch):
@@ -28,3 +31,23 @@ def test_headings_decode_ended_references_once(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["h1"] for r in plans.s7_page_metadata(spark, str(tmp_path)).collect()}
     assert got == {1: "a&&&amp", 2: "b &lt; &ampx; &copy ! é", 3: "c <i> & d"}
+
+
+def test_many_terms_of_all_lengths_are_found_without_trigrams(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("aбb𝒳 ") for _ in range(rnd.randint(0, 60))) for _ in range(40)]
+    terms = sorted({t[i : i + n] for t in texts for n in (1, 2, 3, 5, 6, 8, 9, 14) if len(t) > n for i in (0, len(t) // 2) if len(t[i : i + n]) == n} | {"absent", "abababababab"})
+    monkeypatch.setattr(substrings, "AT_ONCE", 25)
+    hay, words = spark.createDataFrame(list(enumerate(texts)), "id int, hay string"), spark.createDataFrame([(t,) for t in terms], "word string")
+    found = substrings.contained_terms(hay, words)
+    assert sorted(map(tuple, found.collect())) == sorted((i, t) for i, x in enumerate(texts) for t in terms if t in x)
+    # what waits is broadcast, and texts aren't shuffled
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hay" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_inverted_index_sorts_its_words_once(spark):
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: F.struct(F.concat(F.lit("w"), i.cast("string")), F.array(2999 - i))).alias("e"))
+    x = words.select(feeds.abstract_from_inverted_index(F.map_from_entries("e")).alias("t"))
+    assert x.first()[0] == " ".join(f"w{2999 - i}" for i in range(3000))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 1
