@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ MAP_KEYS = 5000
 QUEUE_DAYS = 30
 DAY_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-UPDATES = "user {user}, type string, item_id string, active boolean, text string, keywords array<string>, ts timestamp, seq long, queue_key string, reason string"
-_ITEM = "active boolean, text string, keywords array<string>, at long, seq long"
+#: Fixed value: the buckets that maps are dealt to. A call of Python has a batch's operations on all maps of a bucket.
+BUCKETS = 1024
+UPDATES = "user string, type string, item_id string, active boolean, text string, keywords array<string>, at long, seq long, queue_key string, reason string"
+_MAP = "item_id array<string>, stays array<boolean>, at array<long>, seq array<long>, timers array<long>"
 
 
 def is_on(kind: str, active, text, keywords) -> bool:
@@ -32,84 +35,104 @@ def is_on(kind: str, active, text, keywords) -> bool:
     return True
 
 
-class MapOfUser(StatefulProcessor):
-    """One user's map of one type. An item keeps its last operation, by time and ``seq``; one that came late from the source's order
-    changes nothing. A full map takes no new item. What is switched off stays as a tombstone until the watermark has passed
-    it, and queue entries expire ``queue_days`` after their last operation; both at the end of a day of event time."""
+class MapsOfUsers(StatefulProcessor):
+    """Maps of users by type, a bucket of them in a call. An item keeps its last operation, by time and ``seq``; one that came late from the
+    source's order changes nothing. A full map takes no new item. What is switched off stays as a tombstone until the watermark has passed
+    it, and queue entries expire ``queue_days`` after their last operation; both at the end of a day of event time.
+
+    A map is one value of the state: the items with whether they are there, their times and numbers, and the map's timers. It is
+    read and written once a batch. Texts and keywords go out with the updates and decide nothing later, so they aren't in it."""
 
     def __init__(self, most: int, queue_days: int) -> None:
         self.most, self.queue_days = most, queue_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item_id string", _ITEM)
-        self.held = handle.getValueState("held", "n int")
-        self.timers = handle.getValueState("timers", "at long")
+        self.maps = handle.getMapState("maps", "user string, type string", _MAP)
+
+    def _map(self, name: tuple) -> tuple[dict[str, tuple], list[int]]:
+        value = self.maps.getValue(name)
+        if value is None:
+            return {}, []
+        items, stays, at, seq, timers = value
+        return dict(zip(items, zip(stays, at, seq))), list(timers)
+
+    def _keep(self, name: tuple, items: dict[str, tuple], timers: list[int]) -> None:
+        if items or timers:
+            held = list(items.values())
+            self.maps.updateValue(name, (list(items), *[[v[i] for v in held] for i in range(3)], timers))
+        else:
+            self.maps.removeKey(name)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        user, kind = key
-        ops = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        held = self.held.get()[0] if self.held.exists() else 0
-        known: dict[str, tuple | None] = {}
-        out: dict[str, tuple] = {}
-        latest = 0
-        for op in ops.itertuples(index=False):
-            at = op.ts.value // 1000
-            if op.item_id not in known:
-                known[op.item_id] = tuple(self.items.getValue((op.item_id,))) if self.items.containsKey((op.item_id,)) else None
-            before = known[op.item_id]
-            if before is not None and (at, op.seq) <= (before[3], before[4]):
-                continue
-            words = list(op.keywords) if op.keywords is not None else []
-            there, stays = before is not None and before[0], is_on(kind, op.active, op.text, words)
-            reason = "set" if stays else "cleared"
-            if stays and not there and held >= self.most:
-                stays, reason = False, "full"
-            held += int(stays) - int(there)
-            known[op.item_id] = (stays, op.text if stays else "", words if stays else [], at, int(op.seq))
-            out[op.item_id] = (*known[op.item_id], bool(op.active) and stays, op.queue_key if kind == "queue" else None, reason)
-            latest = max(latest, at)
-        for item in out:
-            self.items.updateValue((item,), known[item])
-        self.held.update((held,))
-        if out:
-            self._wake(kind, latest)
-        yield self._rows(user, kind, out)
-
-    def _wake(self, kind: str, at: int) -> None:
-        """A timer at the end of the day on which the latest of the items is due; one at most for each day."""
+        ops = pd.concat(rows, ignore_index=True).sort_values(["user", "type", "at", "seq"], kind="stable")
+        columns = [ops[c].tolist() for c in ("user", "type", "item_id", "active", "text", "keywords", "at", "seq", "queue_key")]
+        given, wake = [], set()
+        for name, mine in groupby(zip(*columns), key=lambda op: op[:2]):
+            kind = name[1]
+            items, timers = self._map(name)
+            held = sum(v[0] for v in items.values())
+            out: dict[str, tuple] = {}
+            for _, _, item, active, text, words, at, seq, queue_key in mine:
+                before = items.get(item)
+                if before is not None and (at, seq) <= before[1:]:
+                    continue
+                words = list(words) if words is not None else []
+                there, stays = before is not None and before[0], is_on(kind, active, text, words)
+                reason = "set" if stays else "cleared"
+                if stays and not there and held >= self.most:
+                    stays, reason = False, "full"
+                held += int(stays) - int(there)
+                items[item] = (stays, at, int(seq))
+                shown = (bool(active), text, words) if stays else (False, "", [])
+                out[item] = (*name, item, *shown, at, int(seq), queue_key if kind == "queue" else None, reason)
+            if out:
+                wake.update(self._due(kind, max(row[6] for row in out.values()), timers))
+                self._keep(name, items, timers)
+                given += out.values()
+        self._wake(wake)
+        yield self._rows(given)
+
+    def _due(self, kind: str, at: int, timers: list[int]) -> list[int]:
+        """The end of the day on which the latest of a map's items is due, entered in ``timers``, unless the map has that one or a later one."""
         days = self.queue_days if kind == "queue" else 0
         due = (at // 1000 // DAY_MS + days + 1) * DAY_MS
-        if not self.timers.exists() or self.timers.get()[0] < due:
-            self.timers.update((due,))
-            self.handle.registerTimer(due)
+        if timers and max(timers) >= due:
+            return []
+        timers.append(due)
+        return [due]
+
+    def _wake(self, wake: set[int]) -> None:
+        """Timers of the bucket, one for all maps that are due then."""
+        if wake:
+            for due in sorted(wake - set(self.handle.listTimers())):
+                self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        user, kind = key
         now = expiredTimerInfo.getExpiryTimeInMs()
-        held = self.held.get()[0] if self.held.exists() else 0
-        out, gone, later = {}, [], 0
-        for (item,), value in self.items.iterator():
-            stays, at = value[0], value[3]
-            due = at // 1000 + (self.queue_days * DAY_MS if kind == "queue" and stays else 0)
-            if due < now and (not stays or kind == "queue"):
-                gone.append(item)
-                if stays:
-                    held -= 1
-                    out[item] = (False, "", [], at, value[4], False, None, "expired")
-            elif not stays or kind == "queue":
-                later = max(later, at)
-        for item in gone:
-            self.items.removeKey((item,))
-        self.held.update((held,))
-        if later:
-            self._wake(kind, later)
-        yield self._rows(user, kind, out)
+        given, wake = [], set()
+        for name in [tuple(name) for name, value in self.maps.iterator() if now in value[4]]:
+            kind = name[1]
+            items, timers = self._map(name)
+            timers.remove(now)
+            later = 0
+            for item, (stays, at, seq) in list(items.items()):
+                due = at // 1000 + (self.queue_days * DAY_MS if kind == "queue" and stays else 0)
+                if due < now and (not stays or kind == "queue"):
+                    del items[item]
+                    if stays:
+                        given.append((*name, item, False, "", [], at, seq, None, "expired"))
+                elif not stays or kind == "queue":
+                    later = max(later, at)
+            if later:
+                wake.update(self._due(kind, later, timers))
+            self._keep(name, items, timers)
+        self._wake(wake)
+        yield self._rows(given)
 
     @staticmethod
-    def _rows(user, kind: str, out: dict[str, tuple]) -> pd.DataFrame:
-        rows = [(user, kind, item, v[5], v[1], v[2], pd.Timestamp(v[3] * 1000), v[4], v[6], v[7]) for item, v in out.items()]
-        return pd.DataFrame(rows, columns=["user", "type", "item_id", "active", "text", "keywords", "ts", "seq", "queue_key", "reason"])
+    def _rows(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["user", "type", "item_id", "active", "text", "keywords", "at", "seq", "queue_key", "reason"])
 
     def close(self) -> None:
         pass
@@ -124,15 +147,16 @@ def fold_user_ops_bounded(ops: DataFrame, watermark: str = "7 days", most: int =
     """T1 as a stream with bounds: updates of ``user, type, item_id`` (the last of each, by ``ts, seq``, is its state), with the
     operation's own switch (``active``) and what became of it: set, cleared, full (a map had ``most`` items) or expired. Queue entries
     have ``queue_key``, the hash of user and item. Operations behind the watermark are dropped, null times too. State per user
-    and type: at most ``most`` items, and tombstones of the time that the watermark spans."""
+    and type: at most ``most`` items, and tombstones of the time that the watermark spans. Maps are dealt to ``BUCKETS`` by a hash, and what
+    is kept for a bucket can't be read by a checkpoint with another number of them, or of the layout before, by user and type."""
     cleaned = clean_ops(ops).where("ts is not null").withColumn("queue_key", F.sha2(F.concat_ws(":", F.col("user").cast("string"), "item_id"), 256))
-    slim = cleaned.select("user", "type", "item_id", "active", "text", "keywords", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "queue_key")
-    user_type = slim.schema["user"].dataType.simpleString()
-    return (
-        slim.withWatermark("ts", watermark)
-        .groupBy("user", "type")
-        .transformWithStateInPandas(MapOfUser(most, queue_days), UPDATES.format(user=user_type), "Update", "EventTime")
-    )
+    ts = F.col("ts").cast("timestamp")
+    slim = cleaned.select(
+        F.pmod(F.xxhash64(F.col("user").cast("string"), "type"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("user").cast("string").alias("user"), "type", "item_id", "active", "text", "keywords",
+        ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("seq").cast("long").alias("seq"), "queue_key",
+    )
+    updates = slim.withWatermark("ts", watermark).groupBy("bucket").transformWithStateInPandas(MapsOfUsers(most, queue_days), UPDATES, "Update", "EventTime")
+    return updates.select(F.col("user").cast(ops.schema["user"].dataType).alias("user"), "type", "item_id", "active", "text", "keywords", F.timestamp_micros("at").alias("ts"), "seq", "queue_key", "reason")
 
 
 def settled_items(updates: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,50 @@ def test_queue_entries_expire(spark, folder, rocks):
     assert set(there) == {"c", "d", "e", "n", "n2"} and len(there["c"]) == 64 and there["n"] is None
 
 
+class Counted:
+    """A state without a store, which counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValue(self, name):
+        self.calls += 1
+        return self.held.get(name)
+
+    def updateValue(self, name, value):
+        self.calls += 1
+        self.held[name] = value
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, due):
+        self.calls += 1
+        self.timers.add(due)
+
+
+def test_a_map_is_read_and_written_once_a_batch():
+    state = Counted()
+    maps = keyed_state.MapsOfUsers(5000, 30)
+    maps.init(state)
+    ops = [(str(n % 4), "note", f"i{n % 50}", True, "x", None, n * 1000, n, "") for n in range(2000)] + [(None, "queue", "i", None, "", None, 5, 1, "k")]
+    rows = pd.DataFrame(ops, columns=["user", "type", "item_id", "active", "text", "keywords", "at", "seq", "queue_key"])
+    out = pd.concat(maps.handleInputRows((0,), iter([rows[:1500], rows[1500:]]), None))
+    assert len(out) == 101 and state.calls == 2 * 5 + 1 + 2
+    assert {name: len(value[0]) for name, value in state.held.items()} == {**{(str(u), "note"): 25 for u in range(4)}, (None, "queue"): 1}
+
+
+def test_users_without_a_name_and_of_any_type_keep_their_maps(spark, folder, rocks):
+    ops = [("a", 0), (None, 1), ("b", 2), (None, 3)]
+    rows = [(f"op{i}", u, START, f"i{i}", "note", True, "n", None, i) for u, i in ops]
+    stream = keyed_state.fold_user_ops_bounded(fed(spark, [rows], OPS.replace("user long", "user string"), folder), "0 days")
+    assert sorted((str(r.user), r.item_id) for r in keyed_state.settled_items(run(spark, stream, folder)).collect()) == [("None", "i1"), ("None", "i3"), ("a", "i0"), ("b", "i2")]
+
+
 def test_acknowledged_queue_equals_its_batch(spark, folder):
     rnd = random.Random(3)
     ops = [o for o in ops_of(rnd, 120, days=6)]
