@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, empty_if_null, nfkc_lower
+from ..functions.text import any_of, empty_if_null, let, nfkc_lower
 from ..storage import small
 
 _WORDS = re.compile(r"[a-z0-9]+(?:[ -][a-z0-9]+)*")
@@ -86,13 +86,13 @@ def found_terms(lowered: Column, terms) -> Column:
     other = [F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in norm if not _WORDS.fullmatch(t)]
     parts = [F.array_compact(F.array(*other))] if other else []
     if words:
-        hits = F.regexp_extract_all(lowered, F.lit(_pattern(words)), 1)
+        hits = F.array_distinct(F.regexp_extract_all(lowered, F.lit(_pattern(words)), 1))
         if any(" " in w for w in words):
             hits = F.transform(hits, lambda h: F.regexp_replace(h, r"\s+", " "))
-        hits = F.array_distinct(hits)
         begun = {w: [v for v in words if w != v and w.startswith(v) and w[len(v)] in " -"] for w in words}
-        implied = [F.when(F.array_contains(hits, w), F.array(*map(F.lit, short))) for w, short in begun.items() if short]
-        parts += [hits, *([F.flatten(F.array_compact(F.array(*implied)))] if implied else [])]
+        implied = lambda h: [F.when(F.array_contains(h, w), F.array(*map(F.lit, short))) for w, short in begun.items() if short]
+        # ``let``: the text is read once, and not again for each term that begins with another
+        parts.append(let(F.array_distinct(hits), lambda h: F.concat(h, F.flatten(F.array_compact(F.array(*implied(h)))))) if any(begun.values()) else hits)
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
@@ -102,8 +102,8 @@ def listed(found: Column, terms) -> Column:
 
 
 def term_hits(lowered: Column, terms) -> Column:
-    """The terms that occur, in the list's order."""
-    return listed(found_terms(lowered, terms), terms)
+    """The terms that occur, in the list's order; the text is read once, not once for each term."""
+    return let(found_terms(lowered, terms), lambda found: listed(found, terms))
 
 
 def _met(found: Column, terms) -> Column:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import merge, substrings
+from corpusloom.operators import classify, merge, substrings
 from corpusloom.plans import queries as plans
 from corpusloom.sources import feeds, html_pages
 
@@ -58,3 +58,11 @@ def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "https://e.org/", f'<a href="/{i}">page {i}</a>' * (i % 3)) for i in range(7)] + [(7, None, None)], "page_id long, url string, html string").coalesce(1)
     got = sorted((r.page_id, r.pos, r.url) for r in html_pages.html_links(pages).collect())
     assert got == [(i, n, f"https://e.org/{i}") for i in range(7) for n in range(i % 3)]
+
+
+def test_a_text_is_read_once_for_all_terms(spark):
+    terms = ["beam", "beam loss", "beam loss monitor", "ion", "ion-trap", "§ 2"]
+    texts = ["The beam loss  monitor", "ion-trap; § 2", "", None, "beams"]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select(classify.term_hits(F.lower("t"), terms).alias("h"))
+    assert [r.h or [] for r in x.collect()] == [terms[:3], terms[3:], [], [], []]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
