@@ -74,3 +74,15 @@ def test_indexed_search_equals_a_scan(spark, folder):
     again = SearchIndex(spark, f"{folder}/i")
     assert {r.id for r in again.search("abc", ["2002"]).collect()} == {r.id for r in index.search("abc", ["2002"]).where("id % 2 = 0").collect()}
     assert {r.id for r in again.search("abc", ["2001"]).collect()} == {r.id for r in index.search("abc", ["2001"]).collect()}
+
+
+def test_postings_hold_the_trigrams_of_code_points_alone(spark, folder):
+    texts = {1: "a🙂b🙃", 2: "b🙃a🙂b", 3: "xy", 4: "", 5: "a🙂b a🙂b"}
+    papers = [(i, "2001-01-01", t, "", 0) for i, t in texts.items()]
+    write_search_index(spark.createDataFrame(papers, "id long, published string, title string, source string, importance long"), f"{folder}/i")
+    rows = SearchIndex(spark, f"{folder}/i")._table("postings", None).collect()
+    want = {}
+    for i, t in texts.items():
+        for g in {t[k : k + 3] for k in range(len(t) - 2)}:
+            want.setdefault(g, []).append(i)
+    assert {(r.year, r.block, r.gram): r.ids for r in rows} == {("2001", 0, g): sorted(ids) for g, ids in want.items()} and len(rows) == len(want)
