@@ -1,6 +1,9 @@
 """Steps whose memory, disk or time once grew faster than their tables."""
 
+import base64
+import gzip
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -66,3 +69,13 @@ def test_a_text_is_read_once_for_all_terms(spark):
     x = spark.createDataFrame([(t,) for t in texts], "t string").select(classify.term_hits(F.lower("t"), terms).alias("h"))
     assert [r.h or [] for r in x.collect()] == [terms[:3], terms[3:], [], [], []]
     assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_snapshots_that_are_not_packed_do_not_go_through_python(spark, monkeypatch):
+    mark = lambda raw, encoding: f"<!-- v1 --><!-- x-encoding:{encoding} -->```text\n{base64.b64encode(raw).decode()}\n```"
+    good = b'{"personal":{"notes":{"a":"\xc3\xa9"}}}'
+    rows = [(1, "owner", "sync", mark(good, "base64")), (2, "owner", "sync", mark(b'{"personal":{"notes":{"a":"\xff"}}}', "base64")), (3, "owner", "sync", mark(gzip.compress(b"\xff"), "gzip-base64"))]
+    x = feeds.state_from_issues(spark.createDataFrame(rows, "seq long, login string, title string, body string"), "owner", "sync", "<!-- v1 -->")
+    assert [r["state"]["personal"]["notes"] for r in x.collect()] == [{"a": "é"}]
+    sent = re.findall(r"_inflate\((.*?)\)#", x._jdf.queryExecution().optimizedPlan().toString())
+    assert sent and all("gzip-base64" in s or "_e" in s for s in sent), sent
