@@ -66,7 +66,9 @@ class Catalogue:
         state = self.snapshots.state()
         state["about"] = {"schema": papers.schema.jsonValue(), "buckets": self.buckets, "slices": self.slices}
         state["tables"] = {"records": self._stage_records(last)}
-        log = last.select(title_key(F.col("title")).alias("_key"), "id", F.col("seq").cast("long"), F.lit(1).cast("long").alias("at"), F.lit(True).alias("present")).where("_key <> ''")
+        # the titles of the records as they are stored, so that ``papers`` isn't computed a second time
+        stored = self.spark.read.schema(papers.schema).parquet(*state["tables"]["records"].values()) if state["tables"]["records"] else last
+        log = stored.select(title_key(F.col("title")).alias("_key"), "id", F.col("seq").cast("long"), F.lit(1).cast("long").alias("at"), F.lit(True).alias("present")).where("_key <> ''")
         state["tables"]["titles"] = self._stage_titles(log, 1)
         return self.snapshots.commit(state)
 

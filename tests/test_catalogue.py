@@ -176,3 +176,17 @@ def test_published_months_switch_together(spark, folder, monkeypatch):
     assert second["tables"]["papers"]["2024-01"] == first["tables"]["papers"]["2024-01"]
     only = published_papers(spark, root, ["2024-01"]).inputFiles()
     assert only and all("2024-01" in f for f in only)
+
+
+def test_the_first_version_computes_its_records_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    papers = spark.createDataFrame([(f"p{i}", f"Title {i}", i) for i in range(20)], "id string, title string, seq long")
+    made = Catalogue(spark, f"{folder}/once", buckets=2, slices=2)
+    state = made.create(papers.mapInPandas(counted, papers.schema))
+    assert seen.value == 20 and made.papers().count() == made.title_log(state).count() == 20
