@@ -207,6 +207,36 @@ def test_related_items_in_blocks(spark, monkeypatch):
         assert {tuple(x) for x in joins.related_items(r.where("id < 30"), r).collect()} == want
 
 
+def test_related_items_of_copies(spark, monkeypatch, tmp_path):
+    """Thirty copies of each record meet no anchor more often than seven do, in all tiles together, and the results are those of all pairs."""
+    rnd = random.Random(8)
+    pick = lambda c, n, k: sorted(rnd.sample([f"{c}{i}" for i in range(n)], rnd.randint(1, k)))
+    kinds = [(rnd.choice("st"), pick("c", 6, 3), pick("t", 6, 3), pick("a", 25, 2)) for _ in range(40)]
+    rows = [(i, rnd.choice(["2020-01-01", "2020-01-02", None]), *kinds[i % 40]) for i in range(1200)]
+    r = spark.createDataFrame([*rows, (None, "2021-01-01", *kinds[0])], "id long, published string, source string, categories array<string>, tags array<string>, authors array<string>")
+    want = set()
+    for a in rows[::50]:
+        scored = [(sum(w * len(set(x) & set(y)) for w, x, y in zip((1, 5, 3, 4), ([a[2]], *a[3:]), ([b[2]], *b[3:]))), b[1] or "", -b[0]) for b in rows if b[0] != a[0]]
+        want |= {(a[0], n + 1, -s[2], s[0]) for n, s in enumerate(sorted(scored, reverse=True)[:6]) if s[0]}
+    plain, met = joins._tile, str(tmp_path)
+
+    def counted(*given):
+        run = plain(*given)
+
+        def counts(anchors, records):
+            with open(f"{met}/{anchors.num_rows}-{records.num_rows}-{id(anchors)}-{random.random()}", "w"):
+                return run(anchors, records)
+
+        return counts
+
+    monkeypatch.setattr(joins, "_tile", counted)
+    monkeypatch.setattr(joins, "ROWS", 64)
+    monkeypatch.setattr(joins, "LEAST", 8)
+    assert {tuple(x) for x in joins.related_items(r.where("id % 50 = 0"), r).collect()} == want
+    pairs = [int(a) * int(b) for a, b in (f.name.split("-")[:2] for f in tmp_path.iterdir())]
+    assert len(pairs) > 4 and 0 < sum(pairs) <= len(rows[::50]) * 40 * 7
+
+
 def test_best_window_after_a_title(spark):
     text = "Menu Call one | skip Call ONE Search the site downloads. call one The deadline to be submitted is near. Call one later deadline"
     got = spark.createDataFrame([("Call one", text), ("", text), (None, text), ("absent", text), ("a\\E(b", "x a\\E(b y")], "t string, v string").select(html_pages.best_window(F.col("t"), F.col("v"), 60).alias("w")).collect()
