@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import classify, joins, merge, stats
 from corpusloom.plans import queries as plans
 from corpusloom.plans.adapters import AS_OF, ops_e, papers_o
@@ -275,6 +276,23 @@ def test_events(spark):
     assert [(r["url"], r["published"], r["content"]) for r in sorted(rows, key=lambda r: r["event_start"])] == [("https://x.org/event/1/", "2026-01-01", "About beams"), ("https://x.org/event/2/", "2025-01-01", "About beams")]
 
 
+def test_events_are_read_by_one_worker(spark):
+    """However many texts are cleaned and whatever filters use them, a task has one call of Python; texts come out as the scalar functions give them."""
+    titles = ["Caf\u00e9 &amp; <b>beams</b>", "\uff22\uff25\uff21\uff2d\uff33\u2003\u00a0x", "a \u00a8 BEAMS \x85 b", "none", None, "", "Beams &lt;i&gt; &copy 1"]
+    places = [("R&amp;D", None, " <i>x</i> "), (None, None, None), ("a", "b", "c"), ("", "", "")]
+    events = [{"id": str(i), "title": t, "description": f"<p>About {d}</p>", "organizer": f" O\u2028{t} ", **dict(zip(("location", "room", "address"), places[i % 4])), "startDate": {"date": "2026-01-01"}} for i, (t, d) in enumerate((t, d) for t in titles for d in ("&amp;amp; beams", "<script>beams</script>none"))]
+    raw = spark.createDataFrame([(s, json.dumps({"results": events})) for s in ("s", "t", "u")], "source string, json string")
+    s = spark.createDataFrame([("s", "https://x.org", ["BEAMS"], ["none"], True, None), ("t", "https://x.org", ["beams"], None, False, None), ("u", "https://x.org", None, None, None, None)], "source string, base string, include array<string>, exclude array<string>, match_description boolean, limit int")
+    notices = feeds.notices_from_events(raw, s)
+    assert notices._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    flat = spark.createDataFrame([(int(e["id"]), e["title"], e["description"], e["organizer"], e["location"], e["room"], e["address"]) for e in events], "id int, title string, description string, organizer string, location string, room string, address string")
+    title, content = text.clean_text(F.col("title")), feeds.fragment_text("description")
+    want = {r["id"]: r for r in flat.select("id", title.alias("t"), content.alias("c"), text.nfkc_lower(title).alias("n"), text.nfkc_lower(F.concat_ws(" ", title, content)).alias("b"), text.clean_text(F.col("organizer")).alias("o"), text.clean_text(F.concat_ws(" ", "location", "room", "address")).alias("l")).collect()}
+    held = {"s": lambda r: "beams" in r["b"] and "none" not in r["t"].lower(), "t": lambda r: "beams" in r["n"], "u": lambda r: True}
+    got = {(r["source"], r["url"], r["title"], r["content"], r["organizer"], r["location"]) for r in notices.collect()}
+    assert got == {(k, f"https://x.org/event/{i}/", r["t"], r["c"], r["o"], r["l"]) for k, f in held.items() for i, r in want.items() if r["t"] and f(r)} and len(got) > 12
+
+
 def test_citation_exports(spark):
     body = "A measured spectrum of neutron rich nuclei is reported in this work"
     texts = [("bib", f"@article{{x, abstract = {{{body} {{A}}}}, }}"), ("ris", f"TY  - JOUR\r\nAB  - {body}\r\n more\r\nER  - "), ("end", f"%T x\n%X {body}"), ("xml", f"<a><abstract><p>{body}</p></abstract></a>"), ("none", None), ("short", "AB  - no")]
