@@ -133,3 +133,12 @@ def test_health_has_the_last_success_and_the_board_its_sources(spark):
     for r, want in ((runs, (1, 2)), (runs.where("kind = 'news'"), (0, 0))):
         board = stats.notice_board(notices, r, F.lit("2024-01-05")).collect()
         assert [tuple(x) for x in board] == [(1, 0, 1, *want)]
+
+
+def test_every_text_is_rebuilt_from_its_index(spark, tables):
+    """Also empty, blank and null texts, rows that share an id, and words beyond the 100,000th."""
+    long = " ".join(["z"] + ["ab"] * 100_050 + ["end"])
+    rows = [(1, ""), (2, "a  b\n\nb a c"), (3, None), (4, " \n "), (5, "one"), (5, "one two"), (5, "one"), (6, long)]
+    d = tables(documents=(rows, "doc_id long, text string"))
+    want = [(1, ""), (2, "a b b a c"), (3, None), (4, ""), (5, "one"), (5, "one"), (5, "one two"), (6, long)]
+    assert sorted(map(tuple, plans.s13_inverted_index(spark, d).collect()), key=lambda r: (r[0], r[1] or "")) == want
