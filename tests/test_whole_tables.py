@@ -5,6 +5,7 @@ import html
 import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,17 @@ def test_every_text_is_rebuilt_from_its_index(spark, tables):
     d = tables(documents=(rows, "doc_id long, text string"))
     want = [(1, ""), (2, "a b b a c"), (3, None), (4, ""), (5, "one"), (5, "one"), (5, "one two"), (6, long)]
     assert sorted(map(tuple, plans.s13_inverted_index(spark, d).collect()), key=lambda r: (r[0], r[1] or "")) == want
+
+
+def test_backfill_of_odd_texts_is_what_its_sql_says(spark, tables):
+    """Empty texts aren't a paper's own, null ones wait, and entities and phrases of blocked pages are text like any other."""
+    body = "wort wörter " * 30
+    kinds = ["T{}. " + body, "", "T &amp; {}. <i>x</i> " + body, None, " \n ", "T{}. access denied " + body, "T{} \x0b\x1c. " + body]
+    rows = [(i, None if (t := kinds[i % 7]) is None else t.format(i)) for i in range(700, 1500)]
+    d = tables(documents=([(i, t, "src0", "de") for i, t in rows], "doc_id long, text string, source string, lang string"), labels=([(r[0], r[0] % 2) for r in rows[::3]], "doc_id long, quality int"))
+    got = sorted(map(tuple, plans.j3_j4_backfill(spark, d).collect()))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(f"select id, abstract_source, attempt_one, attempt_two, n from ({plans.ORACLE_SQL['j3_j4_backfill']})").fetchall())
+    assert len(want) == 800 and {r[1] for r in want} == {"own", "one", "two", ""} and got == want
