@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import apply_glossary, trigrams
+from corpusloom.operators import substrings
 from corpusloom.operators.substrings import apply_glossary_table, contained_terms
 from corpusloom.sources.search_index import SearchIndex, write_search_index
 
@@ -86,3 +87,17 @@ def test_postings_hold_the_trigrams_of_code_points_alone(spark, folder):
         for g in {t[k : k + 3] for k in range(len(t) - 2)}:
             want.setdefault(g, []).append(i)
     assert {(r.year, r.block, r.gram): r.ids for r in rows} == {("2001", 0, g): sorted(ids) for g, ids in want.items()} and len(rows) == len(want)
+
+
+def test_terms_of_all_lengths_are_looked_for_in_one_scan(spark):
+    """Places are met by hashes, not as strings of as many characters as the longest term has; texts that hold the mark of hits are walked as well."""
+    texts = [(1, "abc abcdef abcdefghi ünder 𝒳𝒳𝒳 xyz"), (2, f"ABCDEF{substrings.MARK}xyzabc"), (3, ""), (4, None)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    glossary = spark.createDataFrame([(w, f"<{w[:2]}{i}>") for i, w in enumerate(["abc", "abcdef", "abcdefghi", "ünder", "𝒳𝒳𝒳", "xy"] + [f"other{n}" for n in range(120)])], "source string, target string")
+    terms = glossary.select(F.col("source").alias("word"))
+    found = contained_terms(df.select("id", F.lower("t").alias("hay")), terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((i, r.word) for i, t in texts if t for r in terms.collect() if r.word in t.lower())
+    got = {r.id: r.g for r in apply_glossary_table(df, glossary, "t", "g").collect()}
+    assert got == {1: "<ab0> <ab1> <ab2> <ün3> <𝒳𝒳4> <xy5>z", 2: f"<ab1>{substrings.MARK}<xy5>z<ab0>", 3: "", 4: None}
